@@ -118,3 +118,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def crc_of_id(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a column of this name: the row's number from 0 in that order over all rows, without one task that holds them all.
+
+    df should be a saved table. Rows are dealt by range and saved; only one count for each partition is summed globally."""
+    from pyspark.sql import Window
+
+    dealt = save(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__part").orderBy(*order)
+    numbered = dealt.withColumn(name, F.row_number().over(within) - 1).join(F.broadcast(counts), "__part")
+    return numbered.withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")

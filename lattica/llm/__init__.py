@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sharding", "url_filter", "packing", "contamination", "language", "quality"]
+MODULES = ["licenses", "sharding", "url_filter", "packing", "contamination", "language", "quality"]
 
 
 def queries() -> dict:

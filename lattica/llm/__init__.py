@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["licenses", "sharding", "url_filter", "packing", "contamination", "language", "quality"]
+MODULES = ["licenses", "url_filter", "packing", "language", "sharding", "contamination", "quality", "tool_calls"]
 
 
 def queries() -> dict:

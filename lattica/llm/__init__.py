@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["licenses", "url_filter", "packing", "language", "sharding", "contamination", "quality", "tool_calls", "embeddings"]
+MODULES = ["licenses", "url_filter", "packing", "language", "sharding", "contamination", "near_dedup", "quality", "tool_calls", "embeddings"]
 
 
 def queries() -> dict:

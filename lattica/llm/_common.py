@@ -92,28 +92,25 @@ def _apply(table: pa.Table, cuts: list[int], function: Callable) -> Iterator[pa.
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): component is the least node that can be reached over edges (a, b), both directions; nodes without edges are absent.
 
-    Large-star and small-star steps by turns: every step keeps at most as many edges as before and halves distances; each step is a saved
-    table, so nothing is held on the driver. A hub's edges meet its minimum in an inner join, which adaptive execution can split."""
-    spark = edges.sparkSession
+    Large-star and small-star steps by turns, until the edges are stars: every step keeps at most as many edges as before. Each step is a
+    saved table, so nothing is held on the driver; a hub's edges meet its least neighbour in a join of two tables, which adaptive
+    execution can split, or in a broadcast join where the nodes are few."""
     edges = save(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "edges")
-    seen = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").selectExpr("b as a", "m as b").distinct()
-        large = save(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        stars = joined.selectExpr("b as a", "m as b").where("a <> b").unionByName(least.selectExpr("a", "m as b")).distinct()
-        edges = save(stars, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
+        ends = edges.selectExpr("a as x", "1 as upper", "0 as lower").unionByName(edges.selectExpr("b as x", "0 as upper", "1 as lower"))
+        ends = ends.groupBy("x").agg(F.sum("upper").alias("upper"), F.sum("lower").alias("lower"))
+        if not ends.where("upper > 1 or (upper > 0 and lower > 0)").limit(1).count():
             break
-        seen = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = save(both.where("b > a").join(small(least), "a").selectExpr("b as a", "m as b").distinct(), "edges")
+        least = save(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        stars = large.join(small(least), "a").selectExpr("b as a", "m as b").where("a <> b")
+        edges = save(stars.unionByName(least.selectExpr("a", "m as b")).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    return save(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
 
 
 def crc_of_id(column: str) -> Column:

@@ -226,11 +226,12 @@ def remove(docs: DataFrame, items: DataFrame, window: int = 13, max_share: float
     """docs without their contaminated rows, with the same columns. With max_words, what stays also loses spans of more words than that.
 
     A removed span leaves the text around it as it was. Null texts stay."""
-    clean = find(docs, items, window, text).where(~F.coalesce(contaminated(max_share), F.lit(False)))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("body"))
+    clean = find(whole, items, window, "body").where(~F.coalesce(contaminated(max_share), F.lit(False)))
     if max_words is not None:
         long = F.filter("spans", lambda s: s["end"] - s["start"] > max_words)
-        clean = clean.withColumn(text, _cut(F.col(text), long))
-    return clean.select(*docs.columns)
+        clean = clean.withColumn("doc", F.col("doc").withField(f"`{text}`", _cut(F.col("body"), long)))
+    return clean.select("doc.*")
 
 
 def _cut(text: Column, spans: Column) -> Column:

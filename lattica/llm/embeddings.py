@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_group, components, save
+from ._common import by_group, components, save, small
 
 #: Vectors that the rotation is learned from, about; a hash of the id chooses them. All vectors are indexed.
 FIT_ROWS = 10_000
@@ -99,10 +99,11 @@ def similar(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", emb
 
     # A class's component is the least key of all its classes; copies link with each other.
     sets = classes.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = sets.groupBy("component").agg(F.min("k").alias("component_id"))
-    told = sets.join(least, "component").join(links.groupBy("c").agg(F.sum("n_links").alias("n_links")), "c", "left")
+    sets = save(sets, "sets")
+    least = save(sets.groupBy("component").agg(F.min("k").alias("component_id")), "least")
+    told = sets.join(small(least), "component").join(links.groupBy("c").agg(F.sum("n_links").alias("n_links")), "c", "left")
     told = told.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.where("sound").join(told, "v").select("k", "n_links", "component_id")
+    out = rows.where("sound").join(save(told, "told"), "v")  # tables on both sides, so that a hot vector's rows can be split.select("k", "n_links", "component_id")
     alone = rows.where("not sound").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
     return out.unionByName(alone).select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -203,6 +203,13 @@ def fit_open(docs: DataFrame) -> Model:
     return fit(docs.where(crc_of_id("doc_id") % 5 != 0))
 
 
+def accept(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
+    """docs whose language a model fitted to their own open rows can tell, with the same columns: not `und`, and not below least_score."""
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"))
+    told = predict(whole, fit_open(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return told.select("doc.*")
+
+
 def op4_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_open(docs.select("doc_id", "text", "lang"))

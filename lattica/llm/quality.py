@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import ranked, save
+from ._common import ranked, save, small
 
 BUCKETS = 1 << 14
 #: Labelled documents that the target model and the threshold learn from, about; a hash of the id chooses them. They are broadcast.
@@ -138,6 +138,12 @@ def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return out.select(F.col("k").alias(key), "n_tokens", "log_weight", "perturbed", "rank", (F.col("rank") < k).alias("selected"))
 
 
+def accept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that select() leaves out, with the same columns. Rows with null keys stay."""
+    out = save(select(docs, labels, key, text).where("not selected").select(F.col(key).alias("__out")).distinct(), "rejected")
+    return docs.join(small(out), F.col(key) == F.col("__out"), "left_anti")
+
+
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

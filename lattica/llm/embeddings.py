@@ -103,7 +103,8 @@ def similar(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", emb
     least = save(sets.groupBy("component").agg(F.min("k").alias("component_id")), "least")
     told = sets.join(small(least), "component").join(links.groupBy("c").agg(F.sum("n_links").alias("n_links")), "c", "left")
     told = told.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.where("sound").join(save(told, "told"), "v")  # tables on both sides, so that a hot vector's rows can be split.select("k", "n_links", "component_id")
+    # Tables on both sides, so that adaptive execution can split a hot vector's rows.
+    out = rows.where("sound").join(save(told, "told"), "v").select("k", "n_links", "component_id")
     alone = rows.where("not sound").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
     return out.unionByName(alone).select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 

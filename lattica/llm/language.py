@@ -23,7 +23,7 @@ FAMILIES = {
     "turkic": ["tr", "az", "kk", "uz"],
 }
 #: Rows of each language that are learned from, about: they are chosen by a hash of the id, with a share that gives that many.
-ROWS_PER_LANGUAGE = 500
+ROWS_PER_LANGUAGE = 300
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4)
 #: Scale of the mean weights, so that margins of about 1 can be reached.
@@ -73,23 +73,24 @@ class Model:
 
 def svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost: float = 10.0, epochs: int = 40, tolerance: float = 1e-3) -> np.ndarray:
     """Weights and bias (last) of a linear support vector machine with squared hinge loss, by coordinate descent on the dual."""
-    w, alpha = np.zeros(BUCKETS + 1), np.zeros(len(rows))
+    w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
     each = cost * len(rows) / 2 / np.where(signs > 0, max(1, (signs > 0).sum()), max(1, (signs < 0).sum()))
-    norms = np.array([v @ v for _, v in rows]) + 0.5 / each
+    norms = np.array([v @ v for _, v in rows]) + 1 + 0.5 / each
     order = np.random.default_rng(7)
     for _ in range(epochs):
         largest = 0.0
         for i in order.permutation(len(rows)):
             at, v = rows[i]
-            gradient = signs[i] * (w[at] @ v) - 1 + alpha[i] * 0.5 / each[i]
+            gradient = signs[i] * (w[at] @ v + bias) - 1 + alpha[i] * 0.5 / each[i]
             moved = max(0.0, alpha[i] - gradient / norms[i]) - alpha[i]
             if moved:
                 alpha[i] += moved
                 w[at] += moved * signs[i] * v
+                bias += moved * signs[i]
                 largest = max(largest, abs(moved) * norms[i])
         if largest < tolerance:
             break
-    return w
+    return np.append(w, bias)
 
 
 def family_of(language: str) -> str:
@@ -119,9 +120,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                     n += np.bincount(buckets, minlength=BUCKETS)
                 at.append(np.flatnonzero(n))
                 value.append(SCALE * n[at[-1]] / max(1, len(data)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64()))], ["l", "at", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["l", "at", "v"])
 
-    rows = save(chosen.mapInArrow(run, "l string, at array<long>, v array<double>"), "grams")
+    rows = save(chosen.mapInArrow(run, "l string, at array<int>, v array<float>"), "grams")
     pairs = [(a, b, families[a], families[b]) for a, b in itertools.combinations(sorted(families), 2)]
     pairs += [(a, b, [a], [b]) for members in families.values() for a, b in itertools.combinations(members, 2)]
     if not pairs:
@@ -131,7 +132,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def train(group: pa.Table) -> pa.Table | None:
         signs = group.column("sign").to_numpy().astype(float)
-        examples = [(np.append(a, BUCKETS), np.append(v, 1.0)) for a, v in zip(group.column("at").to_numpy(), group.column("v").to_numpy(), strict=True)]
+        at, v = (group.column(x).combine_chunks() for x in ("at", "v"))
+        cuts, at, v = at.offsets.to_numpy(), at.values.to_numpy(), v.values.to_numpy()
+        examples = [(at[a:b], v[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         return pa.table({"machine": group.column("machine").slice(0, 1), "w": pa.array([svm(examples, signs)], pa.list_(pa.float64()))})
 
     trained = by_group(rows.join(F.broadcast(machine), "l").select("machine", "sign", "at", "v"), ["machine"], train, "machine int, w array<double>")

@@ -21,6 +21,16 @@ PLAIN = re.compile(r"[^\x00-ԯ]|\s{1000}")
 END_ID = 0
 
 
+@lru_cache(1)
+def _slow(vocabulary: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    made.encode_special_tokens = True
+    return made
+
+
 @lru_cache(1)
 def tokenizer(vocabulary: str):
     """A function from text to ids: those of tokenizers with <vocabulary>.json and add_special_tokens=False.
@@ -30,14 +40,11 @@ def tokenizer(vocabulary: str):
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    slow.encode_special_tokens = True
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: slow.encode(text, add_special_tokens=False).ids if PLAIN.search(text) else fast.encode_ordinary(text)
+    return lambda text: _slow(vocabulary).encode(text, add_special_tokens=False).ids if PLAIN.search(text) else fast.encode_ordinary(text)
 
 
 def pieces(docs: DataFrame, capacity: int, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:

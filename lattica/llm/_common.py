@@ -1,46 +1,16 @@
-"""Helpers shared by the training-data operators: saved tables, grouped Arrow tasks, connected components."""
+"""Helpers shared by the training-data operators: grouped Arrow tasks and connected components, beside the tables of scratch."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of ids that may be broadcast: 16 bytes each, so 16 MB at most; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+from ..sources.scratch import partitions, ranked, save, small
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the session names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lattica/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else df as it is. df is counted: hand in a saved table of ids."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["by_group", "components", "crc_of_id", "partitions", "ranked", "save", "small"]
 
 
 def by_group(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
@@ -115,17 +85,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def crc_of_id(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
-
-
-def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with a column of this name: the row's number from 0 in that order over all rows, without one task that holds them all.
-
-    df should be a saved table. Rows are dealt by range and saved; only one count for each partition is summed globally."""
-    from pyspark.sql import Window
-
-    dealt = save(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__part").orderBy(*order)
-    numbered = dealt.withColumn(name, F.row_number().over(within) - 1).join(F.broadcast(counts), "__part")
-    return numbered.withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")

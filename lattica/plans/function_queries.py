@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import bits, digests, encodings, lists, maths, nets, paths, regexps, strconvs, strings, structs, texts, times, uuids
+from ..functions import bits, digests, encodings, lists, maths, nets, paths, regexps, strconvs, strings, structs, texts, times, uuids, values
 
 KEYS = {"part": "p_partkey", "customer": "c_custkey", "lineitem": "l_orderkey, l_linenumber", "orders": "o_orderkey", "pages": "page_id", "events": "event_id", "documents": "doc_id", "nation": "n_nationkey", "supplier": "s_suppkey"}
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +140,14 @@ add(
     csv_encode=(lambda: encodings.csv_encode([c("p_partkey"), c("p_name"), F.lit('a"b,c')]), "p_partkey || ',' || p_name || ',\"a\"\"b,c\"'"),
     csv_decode=(lambda: encodings.csv_decode(F.concat(c("p_name"), F.lit(',"a,b"\n\nx,y'))), "[[p_name, 'a,b'], ['x', 'y']]"),
     json_marshal=(lambda: encodings.json_marshal(F.struct(c("p_name").alias("n"), c("p_size").alias("s"))), "'{\"n\":\"' || p_name || '\",\"s\":' || p_size || '}'"),
+    value_add=(lambda: values.add(F.lit(2**63 - 20), c("p_size").cast("long")), "TRY(9223372036854775788 + p_size::BIGINT)"),
+    value_subtract=(lambda: values.subtract(F.lit(-(2**63) + 20), c("p_size").cast("long")), "TRY(-9223372036854775788 - p_size::BIGINT)"),
+    value_multiply=(lambda: values.multiply(F.lit(2**62), c("p_size").cast("long")), "TRY(4611686018427387904 * p_size::BIGINT)"),
+    value_equal=(
+        lambda: values.equal(F.struct(c("p_size").cast("long").alias("a"), c("p_name").alias("b")), F.struct(F.lit("red widget").alias("b"), F.lit(9).cast("long").alias("a")), T.StructType.fromDDL("a long, b string"), T.StructType.fromDDL("b string, a long")),
+        "p_size = 9 AND p_name = 'red widget'",
+    ),
+    value_at=(lambda: values.at(F.try_parse_json(F.concat(F.lit('{"a": [1, {"b": '), c("p_size"), F.lit("}]}"))), "$.a[1].b", "int"), "p_size"),
     yaml_valid=(lambda: encodings.yaml_valid(F.concat(F.lit('{"a": '), c("p_size"), F.lit("}"))), "true"),
     yaml_unmarshal=(lambda: F.try_variant_get(encodings.yaml_unmarshal(F.concat(F.lit('{"a": '), c("p_size"), F.lit("}"))), "$.a", "int"), "p_size"),
 )

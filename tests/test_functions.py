@@ -71,3 +71,15 @@ def test_names(spark):
     with pytest.raises(ValueError):
         regexps.match(s, "a(?=b)")
     assert one(spark, texts.execute("{{.a}}-{{ .a }}", {"a": s}), s=None) == [None]
+
+
+def test_equality(spark):
+    from pyspark.sql import types as T
+
+    from lattica.functions import values
+
+    kinds = [T.StructType.fromDDL(x) for x in ("a int, l array<int>, z string", "l array<double>, a double, y int")]
+    frame = spark.sql("SELECT named_struct('a', 1, 'l', array(1, null), 'z', cast(null as string)) p, named_struct('l', array(1D, null), 'a', 1D, 'y', n) q FROM VALUES (null), (1) t(n)")
+    got = [r[0] for r in frame.select(values.equal(F.col("p"), F.col("q"), *kinds)).collect()]
+    assert got == [True, False]
+    assert one(spark, values.equal(F.lit(1), F.lit("1"), T.IntegerType(), T.StringType()), values.is_null_value(F.parse_json(F.lit("null")))) == [False, True]

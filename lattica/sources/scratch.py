@@ -24,14 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lattica/{spark.sparkContext.applicationId}"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
+    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing.
+
+    The table stays until clear(), as results that are not yet written may still read it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lattica/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> bool:
+    """Deletes the tables that this application has saved. Call it when its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from lattica.sources import scratch
 
 def test_tables_are_saved_and_cleared(spark):
     saved = scratch.save(spark.range(5), "five")
-    assert saved.count() == 5 and saved.schema == spark.range(5).schema
+    assert saved.count() == 5 and saved.dtypes == spark.range(5).dtypes
     assert scratch.clear(spark) and not scratch.clear(spark)
     assert scratch.save(spark.range(3), "three").count() == 3
 

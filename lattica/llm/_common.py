@@ -59,28 +59,27 @@ def _apply(table: pa.Table, cuts: list[int], function: Callable) -> Iterator[pa.
         yield from pa.concat_tables(made).combine_chunks().to_batches()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): component is the least node that can be reached over edges (a, b), both directions; nodes without edges are absent.
 
-    Large-star and small-star steps by turns, until the edges are stars: every step keeps at most as many edges as before. Each step is a
-    saved table, so nothing is held on the driver; a hub's edges meet its least neighbour in a join of two tables, which adaptive
-    execution can split, or in a broadcast join where the nodes are few."""
-    edges = save(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "edges")
+    edges should be a saved table: it is read in every round. Each node has a label, at first the least of its neighbours and itself. In
+    a round the two labels of each edge go to its ends and to the nodes that those labels name, each node takes the least, then the
+    label of its label; that goes on until no edge has two labels. Labels are saved, never collected: a round costs one aggregation,
+    combined before the shuffle, so a hub is no hot key, and joins that broadcast the labels where they are few."""
+    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    ends = F.array(F.struct(F.col("a").alias("node"), F.least("a", "b").alias("c")), F.struct(F.col("b").alias("node"), F.least("a", "b").alias("c")))
+    labels = save(edges.select(F.inline(ends)).groupBy("node").agg(F.min("c").alias("c")), "labels")
     for _ in range(rounds):
-        ends = edges.selectExpr("a as x", "1 as upper", "0 as lower").unionByName(edges.selectExpr("b as x", "0 as upper", "1 as lower"))
-        ends = ends.groupBy("x").agg(F.sum("upper").alias("upper"), F.sum("lower").alias("lower"))
-        if not ends.where("upper > 1 or (upper > 0 and lower > 0)").limit(1).count():
-            break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = save(both.where("b > a").join(small(least), "a").selectExpr("b as a", "m as b").distinct(), "edges")
-        least = save(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        stars = large.join(small(least), "a").selectExpr("b as a", "m as b").where("a <> b")
-        edges = save(stars.unionByName(least.selectExpr("a", "m as b")).distinct(), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return save(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+        known = small(labels)
+        labels = save(labels.join(known.select(F.col("node").alias("c"), F.col("c").alias("next")), "c").select("node", F.col("next").alias("c")), "labels")
+        known = small(labels)
+        told = edges.join(known.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(known.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+        told = told.where("ca <> cb")
+        if not told.limit(1).count():
+            return labels.select("node", F.col("c").alias("component"))
+        sent = F.array(*(F.struct(F.col(n).alias("node"), F.least("ca", "cb").alias("c")) for n in ("a", "b", "ca", "cb")))
+        labels = save(told.select(F.inline(sent)).unionByName(labels).groupBy("node").agg(F.min("c").alias("c")), "labels")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def crc_of_id(column: str) -> Column:

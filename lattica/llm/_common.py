@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import partitions, ranked, save, small
 
-__all__ = ["by_group", "components", "crc_of_id", "partitions", "ranked", "save", "small"]
+__all__ = ["by_group", "components", "crc_of_id", "mapped", "partitions", "ranked", "save", "small"]
+
+
+#: Rows that go to Python together. With Spark's own number, 10,000, batches of whole texts take hundreds of MB on either side.
+BATCH_ROWS = 512
+
+
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow() with batches of BATCH_ROWS rows; a smaller number that the session has set stays."""
+    session, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(session.get(name)) <= BATCH_ROWS:
+        session.set(name, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
 
 
 def by_group(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
@@ -35,7 +47,7 @@ def by_group(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.T
             yield from _apply(table, [*_cuts(table, keys), table.num_rows], function)
 
     dealt = df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, schema)
+    return mapped(dealt, run, schema)
 
 
 def _key(batch: pa.RecordBatch, row: int, keys: list[str]) -> tuple:

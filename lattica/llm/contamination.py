@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
+from ._common import mapped
 
 #: Words of items in one automaton (some 100 MB on each Python worker). More items make more automata, streamed one after the other.
 WORDS_PER_AUTOMATON = 100_000
@@ -214,7 +215,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13, text: str = "text"
 
     kept = docs.drop("n_words", "n_hit", "spans", "items", "__text")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    return kept.withColumn("__text", F.col(text)).mapInArrow(run, fields + HITS)
+    return mapped(kept.withColumn("__text", F.col(text)), run, fields + HITS)
 
 
 def contaminated(max_share: float = 0.05) -> Column:

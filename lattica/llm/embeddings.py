@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_group, components, save, small
+from ._common import by_group, components, mapped, save, small
 
 #: Vectors that the rotation is learned from, about; a hash of the id chooses them. All vectors are indexed.
 FIT_ROWS = 10_000
@@ -127,7 +127,7 @@ def _pairs(classes: DataFrame, dimensions: int, n_rows: int, threshold: float, r
                     [batch.column(1).take(at), pa.array(np.tile(np.arange(n_tables, dtype=np.int32), batch.num_rows)), pa.array(keys.ravel())], ["c", "t", "key"]
                 )
 
-    keyed = save(classes.select("v", "c").mapInArrow(index, "c long, t int, key long"), "keys")
+    keyed = save(mapped(classes.select("v", "c"), index, "c long, t int, key long"), "keys")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = keyed.join(save(sizes.withColumn("blocks", blocks), "buckets"), ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import by_group, crc_of_id, save
+from ._common import by_group, crc_of_id, mapped, save
 
 #: Families of languages by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 value.append(SCALE * n[at[-1]] / max(1, len(data)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["l", "at", "v"])
 
-    rows = save(chosen.mapInArrow(run, "l string, at array<int>, v array<float>"), "grams")
+    rows = save(mapped(chosen, run, "l string, at array<int>, v array<float>"), "grams")
     pairs = [(a, b, families[a], families[b]) for a, b in itertools.combinations(sorted(families), 2)]
     pairs += [(a, b, [a], [b]) for members in families.values() for a, b in itertools.combinations(members, 2)]
     if not pairs:
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     kept = docs.drop("lang_pred", "score", "__text")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    return kept.withColumn("__text", F.col(text)).mapInArrow(run, fields + "lang_pred string, score double")
+    return mapped(kept.withColumn("__text", F.col(text)), run, fields + "lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import save
+from ._common import mapped, save
 
 # The contract's phrases and labels.
 PHRASES = [("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license")]
@@ -81,7 +81,7 @@ def spans(docs: DataFrame, templates: list[Template], key: str = "doc_id", text:
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).alias("t"))
     kind = docs.schema[key].dataType.simpleString()
     places = F.broadcast(docs.sparkSession.createDataFrame(rows, "hash long, gram string, template int, at int"))
-    votes = source.mapInArrow(grams, f"row long, k {kind}, pos long, hash long, gram string").join(places, ["hash", "gram"], "left")
+    votes = mapped(source, grams, f"row long, k {kind}, pos long, hash long, gram string").join(places, ["hash", "gram"], "left")
     votes = votes.where("template is not null or pos = -1").select("row", "k", "pos", "at", F.coalesce("template", F.lit(-1)).alias("template"), F.when(F.col("pos") == -1, F.col("hash")).alias("n_words"))
     votes = save(votes, "votes").repartition("row")  # all that follows is by row and more
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import by_group, components, save, small
+from ._common import by_group, components, mapped, save, small
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of registers: two texts of similarity 0.8 miss each other in all bands with probability 5e-6.
@@ -110,7 +110,7 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     [batch.column(0).slice(first, n), pa.array(n_words.astype(np.int64)), pa.array(sequence.view(np.int64)), pa.array(second), lists], ["d", "n_words", "h1", "h2", "keys"]
                 )
 
-    return docs.mapInArrow(run, "d long, n_words long, h1 long, h2 long, keys array<long>")
+    return mapped(docs, run, "d long, n_words long, h1 long, h2 long, keys array<long>")
 
 
 def _overlap(a: set, b: set, least: float) -> bool:
@@ -197,7 +197,7 @@ def verified(source: DataFrame, groups: DataFrame, k: int, similarity: float) ->
 
     # One row for each candidate text: documents of one key are alike for this, whichever comes first.
     wanted = source.join(small(groups), source["d"] == groups["c"]).select("c", "g", "t")
-    sets = wanted.mapInArrow(run, "c long, g long, size long, shingles array<long>")
+    sets = mapped(wanted, run, "c long, g long, size long, shingles array<long>")
     sets = save(sets, "shingles")
     weights = sets.groupBy("g").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS)).cast("int")

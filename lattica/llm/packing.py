@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, save
+from ._common import mapped, partitions, save
 
 #: What the two tokenizer libraries surely read alike; other texts, and very long white space, go to the slower one.
 PLAIN = re.compile(r"[^\x00-ԯ]|\s{1000}")
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays(columns, ["k", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class OpenBins:

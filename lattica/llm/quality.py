@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import ranked, save, small
+from ._common import mapped, ranked, save, small
 
 BUCKETS = 1 << 14
 #: Labelled documents that the target model and the threshold learn from, about; a hash of the id chooses them. They are broadcast.
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
 
     marked = rows.join(sample.where("half = 0"), "k", "left").select("t", "good")
-    counts = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = mapped(marked, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(BUCKETS, 1.0), np.full(BUCKETS, 1.0)
     for r in counts.collect():  # BUCKETS rows at most
         raw[r["bucket"]] += r["raw"]
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total / (n + PRIOR))], ["k", "n_tokens", "mean"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    scored = save(rows.mapInArrow(score, f"k {kind}, n_tokens long, mean double"), "scores")
+    scored = save(mapped(rows, score, f"k {kind}, n_tokens long, mean double"), "scores")
     judged = scored.join(sample.where("half = 1"), "k").select("mean", "good").collect()  # bounded by `labelled`, but for repeated rows
     return Model(ratio, _threshold(np.array([r["mean"] for r in judged]), np.array([r["good"] for r in judged], bool))), scored
 

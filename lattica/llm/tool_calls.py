@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import save
+from ._common import mapped, save
 
 #: name -> field -> rule; a rule may have type, required, min_length, enum. Fields without a rule are not allowed unless "*" is there.
 SCHEMAS: dict[str, dict[str, dict[str, Any]]] = {"reply": {"prompt": {"type": "string", "required": True, "min_length": 1}}}
@@ -114,7 +114,7 @@ def events(messages: DataFrame, schemas: dict = SCHEMAS, conv: str = "conv_id",
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
-    return messages.select(F.col(conv).cast("long"), F.col(turn).cast("long"), role, text).mapInArrow(run, EVENT)
+    return mapped(messages.select(F.col(conv).cast("long"), F.col(turn).cast("long"), role, text), run, EVENT)
 
 
 def link(found: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

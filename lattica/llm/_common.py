@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import partitions, ranked, save, small
 
-__all__ = ["by_group", "components", "crc_of_id", "mapped", "partitions", "ranked", "save", "small"]
+__all__ = ["by_group", "by_groups", "components", "crc_of_id", "mapped", "partitions", "ranked", "save", "small"]
 
 
 #: Rows that go to Python together. With Spark's own number, 10,000, batches of whole texts take hundreds of MB on either side.
@@ -30,6 +30,16 @@ def by_group(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.T
 
     A group's rows are held in memory, so callers bound a group by a block number in keys. keys are not null."""
 
+    def each(table: pa.Table, cuts: list[int]) -> pa.Table | None:
+        made = [out for a, b in zip(cuts, cuts[1:], strict=False) if (out := function(table.slice(a, b - a))) is not None and out.num_rows]
+        return pa.concat_tables(made) if made else None
+
+    return by_groups(df, keys, each, schema)
+
+
+def by_groups(df: DataFrame, keys: list[str], function: Callable[[pa.Table, list[int]], pa.Table | None], schema: str) -> DataFrame:
+    """As by_group(), with a function that takes some whole groups as one table and where each starts, with the table's end at last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for batch in batches:
@@ -40,11 +50,13 @@ def by_group(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.T
                 continue
             table = pa.Table.from_batches(rest)
             cuts = _cuts(table, keys)
-            yield from _apply(table, cuts, function)
+            if len(cuts) > 1 and (out := function(table.slice(0, cuts[-1]), cuts)) is not None:
+                yield from out.combine_chunks().to_batches()
             rest = table.slice(cuts[-1]).combine_chunks().to_batches()
         if rest:
             table = pa.Table.from_batches(rest)
-            yield from _apply(table, [*_cuts(table, keys), table.num_rows], function)
+            if (out := function(table, [*_cuts(table, keys), table.num_rows])) is not None:
+                yield from out.combine_chunks().to_batches()
 
     dealt = df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
     return mapped(dealt, run, schema)
@@ -65,12 +77,6 @@ def _cuts(table: pa.Table, keys: list[str]) -> list[int]:
     return np.flatnonzero(new).tolist()
 
 
-def _apply(table: pa.Table, cuts: list[int], function: Callable) -> Iterator[pa.RecordBatch]:
-    made = [out for a, b in zip(cuts, cuts[1:], strict=False) if (out := function(table.slice(a, b - a))) is not None and out.num_rows]
-    if made:
-        yield from pa.concat_tables(made).combine_chunks().to_batches()
-
-
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): component is the least node that can be reached over edges (a, b), both directions; nodes without edges are absent.
 

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_group, components, mapped, save, small
+from ._common import by_groups, components, mapped, save, small
 
 #: Vectors that the rotation is learned from, about; a hash of the id chooses them. All vectors are indexed.
 FIT_ROWS = 10_000
 #: Vectors that a bucket has on average, which sets the bits of a table's key, and the share of pairs just at the threshold to find.
-PER_BUCKET, RECALL = 12, 0.9
+PER_BUCKET, RECALL = 12, 0.95
 #: Vectors of a bucket that are compared in one task with as many others; larger buckets become pairs of blocks.
 BLOCK = 1024
 
@@ -73,7 +73,7 @@ def tables(dimensions: int, n_rows: int, threshold: float, per_bucket: float, re
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.zeros((0, 0))
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def similar(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -85,7 +85,8 @@ def similar(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", emb
     hold null or non-finite components link with nothing, nor do vectors of different lengths. Rows repeating a key are rows of their
     own that share it. Null keys are allowed; they are never the least. An empty table gives no rows; other columns are ignored."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(embedding).cast("array<double>").alias("v"))
+    kind = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(embedding).cast(f"array<{kind}>").alias("v"))
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists("v", lambda x: x != 0)
     rows = save(rows.withColumn("sound", F.coalesce(sound, F.lit(False))), "vectors")
     classes = rows.where("sound").groupBy("v").agg(F.min("k").alias("k"), F.count("*").alias("n"))
@@ -136,40 +137,55 @@ def _pairs(classes: DataFrame, dimensions: int, n_rows: int, threshold: float, r
     placed = placed.select("c", "t", "key", "block", F.explode(others).alias("m")).select("c", "t", "key", "block", "m.i", "m.j")
     grouped = placed.join(classes.select("c", "v", "n"), "c")
 
-    def compare(group: pa.Table) -> pa.Table | None:
-        if group.num_rows < 2:
+    def compare(table: pa.Table, cuts: list[int]) -> pa.Table | None:
+        unit = _unit(_matrix(table.column("v")))
+        keys = codes.keys(unit)
+        c, n, t, block, i, j = (table.column(x).to_numpy() for x in ("c", "n", "t", "block", "i", "j"))
+        made = [
+            _links(unit[x:y], keys[x:y, : t[x]], c[x:y], n[x:y], np.flatnonzero(block[x:y] == i[x]), None if i[x] == j[x] else np.flatnonzero(block[x:y] == j[x]), threshold)
+            for x, y in zip(cuts, cuts[1:], strict=False)
+            if y - x > 1
+        ]
+        if not (made := [m for m in made if m is not None]):
             return None
-        unit = _unit(_matrix(group.column("v")))
-        c, n, block = (group.column(x).to_numpy() for x in ("c", "n", "block"))
-        table, i, j = (group.column(x)[0].as_py() for x in ("t", "i", "j"))
-        keys = codes.keys(unit)[:, :table]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        near = unit[left] @ unit[right].T >= threshold - 1e-12
-        a, b = np.nonzero(near)
-        a, b = left[a], right[b]
-        keep = (a < b) if i == j else np.ones(len(a), bool)
-        a, b = a[keep], b[keep]
-        exact = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-        a, b = a[exact], b[exact]
-        fresh = np.empty(len(a), bool)
-        for s in range(0, len(a), 200_000):
-            fresh[s : s + 200_000] = ~(keys[a[s : s + 200_000]] == keys[b[s : s + 200_000]]).any(axis=1) if table else True
-        counts = np.bincount(a[fresh], weights=n[b[fresh]], minlength=len(c)) + np.bincount(b[fresh], weights=n[a[fresh]], minlength=len(c))
-        root = np.arange(len(c))
-        while True:  # least class within the block, over its pairs
-            before = root.copy()
-            np.minimum.at(root, a, root[b])
-            np.minimum.at(root, b, root[a])
-            root = root[root]
-            if (root == before).all():
-                break
-        told = np.flatnonzero((counts > 0) | (root != np.arange(len(c))))
-        return pa.table({"c": c[told], "n_links": counts[told].astype(np.int64), "b": c[root[told]]})
-
-    found = save(by_group(grouped, ["t", "key", "i", "j"], compare, "c long, n_links long, b long"), "links")
+        return pa.table({name: np.concatenate(parts) for name, parts in zip(("c", "n_links", "b"), zip(*made, strict=True), strict=True)})
+
+    found = save(by_groups(grouped, ["t", "key", "i", "j"], compare, "c long, n_links long, b long"), "links")
     return found.select("c", "n_links"), found.where("b <> c").select(F.col("c").alias("a"), "b")
 
 
+def _links(unit: np.ndarray, earlier: np.ndarray, c: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple | None:
+    """(c, n_links, b) of one bucket's rows: links of the left block to the right one, or within it if right is None.
+
+    A pair counts only if no earlier table has it, that is, if the rows' keys differ in all of those. b is the least class that the
+    row is linked to, through others of the bucket too."""
+    near = unit[left] @ unit[left if right is None else right].T >= threshold - 1e-12
+    a, b = np.nonzero(np.triu(near, 1) if right is None else near)
+    if not len(a):
+        return None
+    a, b = left[a], left[b] if right is None else right[b]
+    exact = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+    a, b = a[exact], b[exact]
+    fresh = np.ones(len(a), bool)
+    for s in range(0, len(a), 200_000):
+        fresh[s : s + 200_000] = ~(earlier[a[s : s + 200_000]] == earlier[b[s : s + 200_000]]).any(axis=1)
+    counts = np.bincount(a[fresh], weights=n[b[fresh]], minlength=len(c)) + np.bincount(b[fresh], weights=n[a[fresh]], minlength=len(c))
+    order = np.argsort(c)  # so that the least place is the least class
+    place = np.empty(len(c), np.int64)
+    place[order] = np.arange(len(c))
+    root = np.arange(len(c))
+    while True:
+        before = root.copy()
+        np.minimum.at(root, place[a], root[place[b]])
+        np.minimum.at(root, place[b], root[place[a]])
+        root = root[root]
+        if (root == before).all():
+            break
+    root = root[place]
+    told = np.flatnonzero((counts > 0) | (root != place))
+    return c[told], counts[told].astype(np.int64), c[order[root[told]]]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     if not x.size:
         return x

@@ -1,7 +1,7 @@
 """Constraints on values: how they combine, and the column expressions that check them.
 
-A constraint is a small immutable value on the driver. meet(a, b) is the constraint of what both admit; check(c, column, type, path) is
-an array column of violations {path, code, message}, evaluated by Spark with the scan of the data. A typed column's null means that the
+A constraint is a small immutable value on the driver. meet(a, b) is the constraint of what both admit; validate(df, c) adds an array
+column of violations {path, code, message}, evaluated by Spark with the scan of the data. A typed column's null means that the
 field is absent."""
 
 from __future__ import annotations
@@ -306,51 +306,80 @@ def _admits(c: Constraint, value: Any) -> bool:
 # -- checking -----------------------------------------------------------------------------------------------------------------------
 
 
-def _none() -> Column:
-    return F.array().cast(VIOLATION)
+@dataclass
+class Found:
+    """What may be wrong: tests, each with what it means if true (a null is an undecided test), and arrays of violations of elements."""
+
+    tests: list[tuple[Column, Column, str, str]] = field(default_factory=list)
+    arrays: list[Column] = field(default_factory=list)
+
+    def add(self, bad: Column, path: Column, message: str, code: str = "eval") -> Found:
+        self.tests.append((bad, path, code, message))
+        return self
+
+    def extend(self, other: Found, where: Column | None = None) -> Found:
+        """Also what the other has, only where that is true."""
+        self.tests += [(bad if where is None else where & bad, path, code, message) for bad, path, code, message in other.tests]
+        self.arrays += [a if where is None else F.when(where, a).otherwise(_none()) for a in other.arrays]
+        return self
 
+    def any(self) -> Column:
+        tests = [F.coalesce(bad, F.lit(True)) for bad, *_ in self.tests] + [F.size(a) > 0 for a in self.arrays]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-def _when(bad: Column, path: Column, message: str, code: str = "eval") -> Column:
-    """One violation where bad is true; where it is null, the test is undecided, which is a violation of its own."""
-    one = lambda c, m: F.array(F.struct(path.alias("path"), F.lit(c).alias("code"), F.lit(m).alias("message")))
-    return F.when(bad, one(code, message)).when(bad.isNull(), one("incomplete", message)).otherwise(_none()).cast(VIOLATION)
+    def violations(self) -> Column:
+        """The array of violations; rows without any evaluate the tests and nothing else."""
+        one = lambda path, code, message: F.struct(path.alias("path"), F.lit(code).alias("code"), F.lit(message).alias("message"))
+        told = [F.when(bad, one(path, code, message)).when(bad.isNull(), one(path, "incomplete", message)) for bad, path, code, message in self.tests]
+        parts = [*([F.array_compact(F.array(*told)).cast(VIOLATION)] if told else []), *self.arrays]
+        if not parts:
+            return _none()
+        return F.when(self.any(), F.concat(*parts) if len(parts) > 1 else parts[0]).otherwise(_none())
 
 
-def check(c: Constraint, column: Column, kind: T.DataType, path: Column) -> Column:
-    """Violations of the constraint by a column of that type that is not null."""
+def _none() -> Column:
+    return F.array().cast(VIOLATION)
+
+
+def check(c: Constraint, column: Column, kind: T.DataType, path: Column) -> Found:
+    """What of the constraint a column of that type, where it is not null, may violate."""
+    out = Found()
     if isinstance(c, Anything):
-        return _none()
+        return out
     if isinstance(c, Nothing):
-        return _when(F.lit(True), path, c.message)
+        return out.add(F.lit(True), path, c.message)
     if isinstance(c, Kind):
         base = c.name if c.name in TYPES else "int"
         if not isinstance(kind, TYPES[base]):
-            return _when(F.lit(True), path, f"{kind.simpleString()} is no {c.name}")
+            return out.add(F.lit(True), path, f"{kind.simpleString()} is no {c.name}")
         if c.name == "uint":
-            return _when(column < 0, path, "not a uint")
+            return out.add(column < 0, path, "not a uint")
         if c.name in RANGES:
             low, high = RANGES[c.name]
-            return _when(~column.cast("decimal(20,0)").between(low, high), path, f"not a {c.name}")
-        return _none()
+            wide = column if low >= -(2**63) and high < 2**63 else column.cast("decimal(20,0)")
+            return out.add(~wide.between(low, high), path, f"not a {c.name}")
+        return out
     if isinstance(c, Value):
-        return _when(column != F.lit(c.value), path, f"not {c.value!r}")
+        return out.add(column != F.lit(c.value), path, f"not {c.value!r}")
     if isinstance(c, Bound):
         v = F.lit(c.value)
         good = {"<": column < v, "<=": column <= v, ">": column > v, ">=": column >= v, "!=": column != v}[c.operator]
-        return _when(~good, path, f"not {c.operator} {c.value!r}")
+        return out.add(~good, path, f"not {c.operator} {c.value!r}")
     if isinstance(c, Pattern):
         found = column.rlike(compiled(c.text))
-        return _when(found if c.negated else ~found, path, f"{'matches' if c.negated else 'does not match'} {c.text}")
+        return out.add(found if c.negated else ~found, path, f"{'matches' if c.negated else 'does not match'} {c.text}")
     if isinstance(c, Passes):
-        return _when(~c.test(column), path, f"fails {c.name}")
+        return out.add(~c.test(column), path, f"fails {c.name}")
     if isinstance(c, All):
-        return F.concat(*(check(p, column, kind, path) for p in c.parts))
+        for p in c.parts:
+            out.extend(check(p, column, kind, path))
+        return out
     if isinstance(c, OneOf):
         values = [b.value for b in c.branches if isinstance(b, Value)]
         if len(values) == len(c.branches):
-            return _when(~column.isin(values), path, f"not one of {values}")
-        good = reduce(lambda a, b: a | b, [F.size(check(b, column, kind, path)) == 0 for b in c.branches])
-        return _when(~good, path, f"fits none of {len(c.branches)} branches")
+            return out.add(~column.isin(values), path, f"not one of {values}")
+        bad = reduce(lambda a, b: a & b, [check(b, column, kind, path).any() for b in c.branches])
+        return out.add(bad, path, f"fits none of {len(c.branches)} branches")
     if isinstance(c, Items):
         return _check_items(c, column, kind, path)
     if isinstance(c, Record):
@@ -360,80 +389,80 @@ def check(c: Constraint, column: Column, kind: T.DataType, path: Column) -> Colu
 
 def branch_of(c: OneOf, column: Column, kind: T.DataType) -> Column:
     """The number of the first branch that fits, null if none does."""
-    return F.coalesce(*(F.when(F.size(check(b, column, kind, F.lit(""))) == 0, F.lit(i)) for i, b in enumerate(c.branches)))
+    return F.coalesce(*(F.when(~check(b, column, kind, F.lit("")).any(), F.lit(i)) for i, b in enumerate(c.branches)))
 
 
-def _check_items(c: Items, column: Column, kind: T.DataType, path: Column) -> Column:
+def _check_items(c: Items, column: Column, kind: T.DataType, path: Column) -> Found:
+    out = Found()
     if not isinstance(kind, T.ArrayType):
-        return _when(F.lit(True), path, f"{kind.simpleString()} is no list")
-    n, out = len(c.prefix), []
+        return out.add(F.lit(True), path, f"{kind.simpleString()} is no list")
+    n = len(c.prefix)
     least = max(c.least, n)
     if least:
-        out.append(_when(F.size(column) < least, path, f"fewer than {least} elements"))
+        out.add(F.size(column) < least, path, f"fewer than {least} elements")
     most = n if c.element is None else c.most
     if most is not None:
-        out.append(_when(F.size(column) > most, path, f"more than {most} elements"))
+        out.add(F.size(column) > most, path, f"more than {most} elements")
     if c.unique:
-        out.append(_when(F.size(F.array_distinct(column)) < F.size(column), path, "elements are not unique"))
+        out.add(F.size(F.array_distinct(column)) < F.size(column), path, "elements are not unique")
     at = lambda i: F.concat(path, F.lit("."), F.lit(i).cast("string") if isinstance(i, int) else i.cast("string"))
     for i, p in enumerate(c.prefix):
-        out.append(F.when(F.size(column) > i, _required(p, F.get(column, F.lit(i)), kind.elementType, at(i))).otherwise(_none()))
+        out.extend(_field(Field(p), F.get(column, F.lit(i)), kind.elementType, at(i), True), F.size(column) > i)
     if c.element is not None and not isinstance(c.element, Anything):
-        rest = F.transform(column, lambda x, i: F.when(i < n, _none()).otherwise(_required(c.element, x, kind.elementType, at(i))))
-        out.append(F.flatten(rest))
-    return F.concat(*out) if out else _none()
-
+        each = lambda x, i: _field(Field(c.element), x, kind.elementType, at(i), True)
+        bad = F.flatten(F.transform(column, lambda x, i: F.when(i < n, _none()).otherwise(each(x, i).violations())))
+        out.arrays.append(bad)
+    return out
 
-def _required(c: Constraint, column: Column, kind: T.DataType, path: Column) -> Column:
-    return F.when(column.isNull(), _when(F.lit(True), path, "missing", "incomplete")).otherwise(check(c, column, kind, path))
 
+def _field(f: Field, column: Column, kind: T.DataType, path: Column, concrete: bool) -> Found:
+    out = Found()
+    if concrete and not f.optional:
+        out.add(column.isNull(), path, "missing", "incomplete")
+    return out.extend(check(f.constraint, column, kind, path), column.isNotNull())
 
-def _field(f: Field, column: Column, kind: T.DataType, path: Column, concrete: bool) -> Column:
-    absent = _none() if f.optional or not concrete else _when(F.lit(True), path, "missing", "incomplete")
-    return F.when(column.isNull(), absent).otherwise(check(f.constraint, column, kind, path))
 
-
-def _check_struct(c: Record, column: Column, kind: T.DataType, path: Column) -> Column:
+def _check_struct(c: Record, column: Column, kind: T.DataType, path: Column) -> Found:
     if not isinstance(kind, T.StructType):
-        return _when(F.lit(True), path, f"{kind.simpleString()} is no record")
+        return Found().add(F.lit(True), path, f"{kind.simpleString()} is no record")
     return _fields(c, {f.name: (column[f.name], f.dataType) for f in kind.fields}, lambda n: F.concat(path, F.lit("." + n)), path, True)
 
 
-def _fields(c: Record, columns: dict[str, tuple[Column, T.DataType]], at: Callable[[str], Column], path: Column, concrete: bool) -> Column:
-    out, known = [], dict(c.fields)
+def _count(c: Record, n: Column, path: Column, out: Found) -> Found:
+    if c.least or c.most is not None:
+        out.add((n < c.least) | (n > (c.most if c.most is not None else 1 << 30)), path, "number of fields")
+    return out
+
+
+def _fields(c: Record, columns: dict[str, tuple[Column, T.DataType]], at: Callable[[str], Column], path: Column, concrete: bool) -> Found:
+    out, known = Found(), dict(c.fields)
     for name, f in known.items():
         if name in columns:
-            out.append(_field(f, *columns[name], at(name), concrete))
+            out.extend(_field(f, *columns[name], at(name), concrete))
         elif not f.optional and concrete:
-            out.append(_when(F.lit(True), at(name), "missing", "incomplete"))
+            out.add(F.lit(True), at(name), "missing", "incomplete")
     for name, (column, kind) in columns.items():
         fits = [p for pattern, p in c.patterns if _occurs(pattern, name)]
-        out += [F.when(column.isNull(), _none()).otherwise(check(p, column, kind, at(name))) for p in fits]
+        for p in fits:
+            out.extend(check(p, column, kind, at(name)), column.isNotNull())
         if c.closed and name not in known and not fits:
-            out.append(_when(column.isNotNull(), at(name), "field is not allowed"))
-    if c.least or c.most is not None:
-        n = reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x, _ in columns.values()], F.lit(0))
-        out.append(_when((n < c.least) | (n > (c.most if c.most is not None else 1 << 30)), path, "number of fields"))
-    return F.concat(*out) if out else _none()
+            out.add(column.isNotNull(), at(name), "field is not allowed")
+    return _count(c, reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x, _ in columns.values()], F.lit(0)), path, out)
 
 
-def _check_map(c: Record, column: Column, kind: T.MapType, path: Column) -> Column:
-    out, known = [], dict(c.fields)
+def _check_map(c: Record, column: Column, kind: T.MapType, path: Column) -> Found:
+    out, known = Found(), dict(c.fields)
     at = lambda n: F.concat(path, F.lit("."), n)
     for name, f in known.items():
-        value = F.try_element_at(column, F.lit(name))
-        out.append(_field(f, value, kind.valueType, at(F.lit(name)), True))
+        out.extend(_field(f, F.try_element_at(column, F.lit(name)), kind.valueType, at(F.lit(name)), True))
     entries = F.map_entries(column)
-    of = lambda pattern, p: lambda e: F.when(e["key"].rlike(compiled(pattern)), _required(p, e["value"], kind.valueType, at(e["key"]))).otherwise(_none())
-    out += [F.flatten(F.transform(entries, of(pattern, p))) for pattern, p in c.patterns]
+    of = lambda pattern, p: lambda e: F.when(e["key"].rlike(compiled(pattern)), _field(Field(p), e["value"], kind.valueType, at(e["key"]), True).violations()).otherwise(_none())
+    out.arrays += [F.flatten(F.transform(entries, of(pattern, p))) for pattern, p in c.patterns]
     if c.closed:
         fits = lambda k: reduce(lambda a, b: a | b, [k.rlike(compiled(p)) for p, _ in c.patterns], k.isin([*known]) if known else F.lit(False))
         bad = F.filter(F.map_keys(column), lambda k: ~fits(k))
-        out.append(F.transform(bad, lambda k: F.struct(at(k).alias("path"), F.lit("eval").alias("code"), F.lit("field is not allowed").alias("message"))))
-    if c.least or c.most is not None:
-        n = F.size(column)
-        out.append(_when((n < c.least) | (n > (c.most if c.most is not None else 1 << 30)), path, "number of fields"))
-    return F.concat(*out) if out else _none()
+        out.arrays.append(F.transform(bad, lambda k: F.struct(at(k).alias("path"), F.lit("eval").alias("code"), F.lit("field is not allowed").alias("message"))).cast(VIOLATION))
+    return _count(c, F.size(column), path, out)
 
 
 def validate(df: DataFrame, schema: Constraint, concrete: bool = True, violations: str = "violations") -> DataFrame:
@@ -441,15 +470,17 @@ def validate(df: DataFrame, schema: Constraint, concrete: bool = True, violation
 
     Works on batches and streams alike, without a shuffle. schema is a record, or a union of records (the row must fit a branch)."""
     columns = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
-    at = lambda n: F.lit(n)
+    of = lambda s: _fields(s, columns, F.lit, F.lit(""), concrete)
     if isinstance(schema, Nothing):
-        return df.withColumn(violations, _when(F.lit(True), F.lit(""), schema.message))
-    if isinstance(schema, OneOf):
-        good = reduce(lambda a, b: a | b, [F.size(_fields(b, columns, at, F.lit(""), concrete)) == 0 for b in schema.branches])
-        return df.withColumn(violations, _when(~good, F.lit(""), f"fits none of {len(schema.branches)} branches"))
-    if not isinstance(schema, Record):
+        found = Found().add(F.lit(True), F.lit(""), schema.message)
+    elif isinstance(schema, OneOf):
+        bad = reduce(lambda a, b: a & b, [of(b).any() for b in schema.branches])
+        found = Found().add(bad, F.lit(""), f"fits none of {len(schema.branches)} branches")
+    elif isinstance(schema, Record):
+        found = of(schema)
+    else:
         raise TypeError("a row is a record")
-    return df.withColumn(violations, _fields(schema, columns, at, F.lit(""), concrete))
+    return df.withColumn(violations, found.violations())
 
 
 def opened(schema: Record) -> Record:

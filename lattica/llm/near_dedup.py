@@ -15,6 +15,8 @@ from ._common import by_group, components, mapped, save, small
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of registers: two texts of similarity 0.8 miss each other in all bands with probability 5e-6.
 BANDS, ROWS = 40, 6
+#: Events that the processes of a batch make at once, unless there are more processes.
+EVENTS = 20_000
 #: What a task holds of one group of candidates, about: larger groups become blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 100, 400_000
 
@@ -65,15 +67,17 @@ def signatures(rows: np.ndarray, hashed: np.ndarray, counts: np.ndarray, n: int,
         time = np.zeros(len(rows))
         step = 0
         while len(rows):
-            step += 1
-            bits = _words.mix(seed + np.uint64(step) * _words.STEP)
-            time = time - np.log((np.float64(0.5) + (bits >> np.uint64(11)).astype(np.float64)) / (1 << 53)) / width
+            # Once few processes go on, each makes some of its next events at once; more than it needs changes nothing.
+            more = max(1, min(64, EVENTS // len(rows)))
+            bits = _words.mix(seed[:, None] + np.arange(step + 1, step + more + 1, dtype=np.uint64)[None, :] * _words.STEP)
+            wait = -np.log((np.float64(0.5) + (bits >> np.uint64(11)).astype(np.float64)) / (1 << 53)) / width[:, None]
+            times = np.add.accumulate(np.concatenate([time[:, None], wait], axis=1), axis=1)[:, 1:]
             other = _words.mix(bits ^ np.uint64(0xD1B54A32D192ED03))
             register = ((other & np.uint64(0xFFFFFFFF)) * np.uint64(size)) >> np.uint64(32)
-            spot = low + (((other >> np.uint64(32)) * width.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-            counted = spot < weight
-            at = rows * size + register.astype(np.int64)
-            np.minimum.at(out, at[counted], time[counted])
+            spot = low[:, None] + (((other >> np.uint64(32)) * width[:, None].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            counted = spot < weight[:, None]
+            np.minimum.at(out, (rows[:, None] * size + register.astype(np.int64))[counted], times[counted])
+            step, time = step + more, times[:, -1]
             live = rows[np.flatnonzero(np.diff(rows, prepend=-1))]  # rows stay in order
             last[live] = table[live].max(axis=1)
             go = time < last[rows]

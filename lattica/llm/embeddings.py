@@ -17,6 +17,10 @@ from ._common import by_groups, components, mapped, save, small
 FIT_ROWS = 10_000
 #: Vectors that a bucket has on average, which sets the bits of a table's key, and the share of pairs just at the threshold to find.
 PER_BUCKET, RECALL = 12, 0.95
+#: Tables for which a key is made shorter, that is, buckets larger, rather than add more.
+MANY_TABLES = 64
+#: Vectors of the sample that get a made neighbour at the threshold, on which recall is measured.
+PROBES = 2000
 #: Vectors of a bucket that are compared in one task with as many others; larger buckets become pairs of blocks.
 BLOCK = 1024
 
@@ -34,9 +38,12 @@ class Codes:
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """A key for each vector (row) and table."""
-        b = self.bits(unit).astype(np.int64)
-        weights = 1 << np.arange(self.tables.shape[1], dtype=np.int64)
-        return np.stack([b[:, t] @ weights for t in self.tables], axis=1)
+        n, length = self.tables.shape
+        weights = 2.0 ** np.arange(length)  # exact: a key is shorter than 53 bits
+        out = np.empty((len(unit), n), np.int64)
+        for s in range(0, len(unit), 4096):
+            out[s : s + 4096] = self.bits(unit[s : s + 4096])[:, self.tables].astype(np.float64) @ weights
+        return out
 
 
 def quantiser(sample: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -53,22 +60,46 @@ def quantiser(sample: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndar
     return mean, axes @ turn
 
 
-def tables(dimensions: int, n_rows: int, threshold: float, per_bucket: float, recall: float) -> np.ndarray:
-    """Which bits each table's key has. A key's length grows with the logarithm of the rows; then so many tables that vectors at the
-    threshold's angle, whose bits differ with probability angle / pi, agree in some table with that recall."""
+def probes(sample: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors with cosine threshold: vectors of the sample, turned towards any direction, and towards differences of others."""
+    random = np.random.default_rng(7)
+    base = sample[random.permutation(len(sample))[:PROBES]]
+    others = sample[random.integers(len(sample), size=(2, len(base)))]
+    out = []
+    for away in (random.standard_normal(base.shape), others[0] - others[1]):
+        away = away - (away * base).sum(axis=1, keepdims=True) * base
+        size = np.linalg.norm(away, axis=1)
+        sound = size > 1e-6
+        if sound.any():
+            out.append((base[sound], threshold * base[sound] + math.sqrt(max(0.0, 1 - threshold**2)) * away[sound] / size[sound, None]))
+    return out or [(base, threshold * base)]
+
+
+def coded(sample: np.ndarray, n_rows: int, threshold: float, per_bucket: float = PER_BUCKET, recall: float = RECALL) -> Codes:
+    """Codes for n_rows vectors. A key's length grows with the logarithm of the rows. Tables are added until that share of probes(), of
+    the kind that is found less, agrees in one of them: so the angles around the mean count, and what tables have in common. No bit is
+    in two tables: beyond the first rotation's bits come those of random turns. If it takes too many tables, keys get shorter; with
+    none of their bits left, all vectors meet."""
+    mean, first = quantiser(sample)
+    dimensions = len(mean)
+    pairs = probes(sample, threshold)
     length = max(1, min(dimensions, math.ceil(math.log2(max(2.0, n_rows / per_bucket)))))
-    flip = math.acos(min(1.0, threshold)) / math.pi
-    agree = (1 - flip) ** length
-    wanted = max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(0.999, agree))))
-    order, out, rest = np.random.default_rng(5), [], np.zeros(0, np.int64)
-    while len(out) < wanted:  # every bit is used about equally often
-        if len(rest) < length:
-            fresh = order.permutation(dimensions)
-            fresh = np.concatenate([fresh[~np.isin(fresh, rest)], fresh[np.isin(fresh, rest)]])
-            rest = np.concatenate([rest, fresh])
-        out.append(rest[:length])
-        rest = rest[length:]
-    return np.array(out)
+    while length:
+        random, parts, n_tables = np.random.default_rng(5), [], 0
+        met = [np.zeros(len(a), bool) for a, _ in pairs]
+        while n_tables < MANY_TABLES and (n_tables < 4 or min(m.mean() for m in met) < recall):
+            turn = first if not parts else first @ np.linalg.qr(random.standard_normal((dimensions,) * 2))[0]
+            turn = turn[:, random.permutation(dimensions)]
+            same = [((a - mean) @ turn > 0) == ((b - mean) @ turn > 0) for a, b in pairs]
+            for s in range(0, dimensions - length + 1, length):
+                if n_tables < MANY_TABLES and (n_tables < 4 or min(m.mean() for m in met) < recall):
+                    parts.append(turn[:, s : s + length])
+                    met = [m | x[:, s : s + length].all(axis=1) for m, x in zip(met, same, strict=True)]
+                    n_tables += 1
+        if min(m.mean() for m in met) >= recall:
+            return Codes(mean, np.concatenate(parts, axis=1), np.arange(n_tables * length).reshape(n_tables, length))
+        length -= 1
+    return Codes(mean, first, np.zeros((1, 0), np.int64))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -95,7 +126,7 @@ def similar(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", emb
     joined = spark.createDataFrame([], "node long, component long")
     for d in sorted(r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()):
         own = classes.where(F.size("v") == d)
-        counts, edges = _pairs(own, d, own.count(), threshold, recall)
+        counts, edges = _pairs(own, own.count(), threshold, recall)
         links, joined = links.unionByName(counts), joined.unionByName(components(edges))
 
     # A class's component is the least key of all its classes; copies link with each other.
@@ -110,13 +141,12 @@ def similar(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", emb
     return out.unionByName(alone).select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _pairs(classes: DataFrame, dimensions: int, n_rows: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+def _pairs(classes: DataFrame, n_rows: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """(c, n_links) and edges (a, b) between classes; a class may have several rows of n_links."""
     share = min(1.0, FIT_ROWS / max(1, n_rows))
     sample = classes.where(F.pmod(F.xxhash64("c", F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").toArrow()
     unit = _unit(_matrix(sample.column("v")))
-    mean, rotation = quantiser(unit)
-    codes = Codes(mean, rotation, tables(dimensions, n_rows, threshold, PER_BUCKET, recall))
+    codes = coded(unit, n_rows, threshold, PER_BUCKET, recall)
     n_tables = len(codes.tables)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,50 +169,57 @@ def _pairs(classes: DataFrame, dimensions: int, n_rows: int, threshold: float, r
 
     def compare(table: pa.Table, cuts: list[int]) -> pa.Table | None:
         unit = _unit(_matrix(table.column("v")))
-        keys = codes.keys(unit)
         c, n, t, block, i, j = (table.column(x).to_numpy() for x in ("c", "n", "t", "block", "i", "j"))
-        made = [
-            _links(unit[x:y], keys[x:y, : t[x]], c[x:y], n[x:y], np.flatnonzero(block[x:y] == i[x]), None if i[x] == j[x] else np.flatnonzero(block[x:y] == j[x]), threshold)
-            for x, y in zip(cuts, cuts[1:], strict=False)
-            if y - x > 1
-        ]
-        if not (made := [m for m in made if m is not None]):
+        met = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y - x > 1:
+                pairs = _near(unit[x:y], np.flatnonzero(block[x:y] == i[x]), None if i[x] == j[x] else np.flatnonzero(block[x:y] == j[x]), threshold)
+                met += [(x, y, *pairs)] if len(pairs[0]) else []
+        if not met:
             return None
+        # Only rows that are in a pair need their keys.
+        rows = np.unique(np.concatenate([x + side for x, _, a, b in met for side in (a, b)]))
+        place = np.zeros(len(unit), np.int64)
+        place[rows] = np.arange(len(rows))
+        keys = codes.keys(unit[rows])
+        made = [_links(keys[:, : t[x]], place[x:y], c[x:y], n[x:y], a, b) for x, y, a, b in met]
         return pa.table({name: np.concatenate(parts) for name, parts in zip(("c", "n_links", "b"), zip(*made, strict=True), strict=True)})
 
     found = save(by_groups(grouped, ["t", "key", "i", "j"], compare, "c long, n_links long, b long"), "links")
     return found.select("c", "n_links"), found.where("b <> c").select(F.col("c").alias("a"), "b")
 
 
-def _links(unit: np.ndarray, earlier: np.ndarray, c: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple | None:
-    """(c, n_links, b) of one bucket's rows: links of the left block to the right one, or within it if right is None.
-
-    A pair counts only if no earlier table has it, that is, if the rows' keys differ in all of those. b is the least class that the
-    row is linked to, through others of the bucket too."""
+def _near(unit: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of the left block to the right one, or within it if right is None, by their places in unit."""
     near = unit[left] @ unit[left if right is None else right].T >= threshold - 1e-12
     a, b = np.nonzero(np.triu(near, 1) if right is None else near)
-    if not len(a):
-        return None
     a, b = left[a], left[b] if right is None else right[b]
     exact = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-    a, b = a[exact], b[exact]
+    return a[exact], b[exact]
+
+
+def _links(earlier: np.ndarray, place: np.ndarray, c: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+    """(c, n_links, b) of one bucket's rows by its links (a, b).
+
+    A pair counts only if no earlier table has it, that is, if the rows' keys differ in all of those; place says where earlier has a row.
+    b is the least class that the row is linked to, through others of the bucket too."""
     fresh = np.ones(len(a), bool)
     for s in range(0, len(a), 200_000):
-        fresh[s : s + 200_000] = ~(earlier[a[s : s + 200_000]] == earlier[b[s : s + 200_000]]).any(axis=1)
+        fresh[s : s + 200_000] = ~(earlier[place[a[s : s + 200_000]]] == earlier[place[b[s : s + 200_000]]]).any(axis=1)
     counts = np.bincount(a[fresh], weights=n[b[fresh]], minlength=len(c)) + np.bincount(b[fresh], weights=n[a[fresh]], minlength=len(c))
     order = np.argsort(c)  # so that the least place is the least class
-    place = np.empty(len(c), np.int64)
-    place[order] = np.arange(len(c))
+    spot = np.empty(len(c), np.int64)
+    spot[order] = np.arange(len(c))
     root = np.arange(len(c))
     while True:
         before = root.copy()
-        np.minimum.at(root, place[a], root[place[b]])
-        np.minimum.at(root, place[b], root[place[a]])
+        np.minimum.at(root, spot[a], root[spot[b]])
+        np.minimum.at(root, spot[b], root[spot[a]])
         root = root[root]
         if (root == before).all():
             break
-    root = root[place]
-    told = np.flatnonzero((counts > 0) | (root != place))
+    root = root[spot]
+    told = np.flatnonzero((counts > 0) | (root != spot))
     return c[told], counts[told].astype(np.int64), c[order[root[told]]]
 
 

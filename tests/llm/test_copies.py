@@ -146,3 +146,47 @@ def test_recall_on_the_table(spark, data):
     near = (unit @ unit.T >= 0.6).sum(1) - 1
     assert all(got[r["vec_id"]] <= n for r, n in zip(rows, near, strict=True))
     assert sum(got.values()) >= 0.9 * near.sum()
+
+
+def directed(random, n, dimensions=64):
+    """Unit vectors around a common direction (mean norm^2 0.5), as embeddings of texts are."""
+    x = random.standard_normal((n, dimensions)) * math.sqrt(0.5 / dimensions)
+    x[:, 0] += math.sqrt(0.5)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def beside(random, x, cosine):
+    away = random.standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    return cosine * x + math.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n_rows", [50_000, 3_000_000])
+def test_vectors_recall_with_a_common_direction(n_rows):
+    random = np.random.default_rng(3)
+    codes = embeddings.coded(directed(random, 10_000), n_rows, 0.9)
+    x = directed(random, 4000)
+    for cosine in (0.9, 0.905, 0.915, 0.93):
+        assert (codes.keys(x) == codes.keys(beside(random, x, cosine))).any(axis=1).mean() >= 0.9
+    spread = codes.keys(directed(random, 20_000))
+    assert max(np.unique(spread[:, t], return_counts=True)[1].max() for t in range(spread.shape[1])) < 1000  # no bucket with much of all
+
+
+def test_vectors_linked_with_a_common_direction(spark):
+    random = np.random.default_rng(4)
+    x = directed(random, 2000)
+    both = np.concatenate([x, beside(random, x, 0.905)])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.similar(frame).collect()}
+    exact = (both @ both.T >= 0.9).sum(axis=1) - 1
+    assert all(got[i] <= exact[i] for i in got) and sum(got.values()) >= 0.9 * exact.sum()
+
+
+def test_vectors_of_one_dimension_or_a_low_threshold():
+    random = np.random.default_rng(5)
+    line = np.where(random.random((500, 1)) < 0.5, 1.0, -1.0)
+    keys = embeddings.coded(line, 500, 0.9).keys(line)
+    assert (keys[line[:, 0] == line[0, 0]] == keys[0]).any(axis=1).all()
+    x = directed(random, 2000)
+    codes = embeddings.coded(x, 3_000_000, -0.5)
+    assert (codes.keys(x) == codes.keys(beside(random, x, -0.5))).any(axis=1).mean() >= 0.9

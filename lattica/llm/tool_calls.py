@@ -7,16 +7,16 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mapped, save
+from ._common import by_group, mapped, save
 
 #: name -> field -> rule; a rule may have type, required, min_length, enum. Fields without a rule are not allowed unless "*" is there.
 SCHEMAS: dict[str, dict[str, dict[str, Any]]] = {"reply": {"prompt": {"type": "string", "required": True, "min_length": 1}}}
 TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "array": list, "object": dict, "null": type(None)}
-#: Levels of late dependencies (on what stands further down) that are put in order; deeper or cyclic ones are marked.
-MAX_DEPTH = 64
+#: Dependencies of a conversation that one task puts in order; conversations with more are ordered by rounds over tables.
+TOGETHER = 100_000
 
 
 def canonical(value: Any) -> str:
@@ -117,12 +117,12 @@ def events(messages: DataFrame, schemas: dict = SCHEMAS, conv: str = "conv_id",
     return mapped(messages.select(F.col(conv).cast("long"), F.col(turn).cast("long"), role, text), run, EVENT)
 
 
-def link(found: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def link(found: DataFrame) -> DataFrame:
     """events() with status, partner_turn, order_turn and order_step.
 
     Ids hold within a conversation. The first call and the first result of an id (by turn, index, line) are linked; others are repeated.
-    status: linked, unanswered (a call without result), orphan (a result without call), repeated, note, or cyclic (dependencies that
-    cannot be ordered, or go deeper than max_depth). Calls and results without an id are unanswered and orphans.
+    status: linked, unanswered (a call without result), orphan (a result without call), repeated, note, or cyclic (on a cycle of
+    dependencies, or in need of one that is, at any depth; such keep their turns). Calls and results without an id are unanswered and orphans.
 
     Sorting a conversation by (order_turn, order_step, at) puts each result after its call and each call after the results it
     needs: an event keeps its turn unless what it depends on stands later, then it follows that. An id's calls and results are reduced
@@ -140,24 +140,12 @@ def link(found: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     spots = ids.select("conv", "id", F.struct(F.col("call_turn").alias("t"), F.lit(0).alias("s")).alias("call_spot"), F.struct(F.col("result_turn").alias("t"), F.lit(0).alias("s")).alias("own"))
     after = F.when(F.col("call_spot.t").isNull() | (F.col("own") > F.col("call_spot")), F.col("own")).otherwise(F.struct(F.col("call_spot.t").alias("t"), (F.col("call_spot.s") + 1).alias("s")))
     needs = found.where("kind = 'call' and size(needs) > 0").select("conv", "id", F.explode("needs").alias("need")).where("id is not null").distinct()
-    cyclic = None
+    known = ids.join(spots.select("conv", "id", "call_spot", after.alias("result_spot")), ["conv", "id"]).withColumn("cyclic", F.lit(False))
     if needs.limit(1).count():
-        needs = save(needs, "needs")
         spots = save(spots, "spots")
-        for depth in range(max_depth + 1):
-            there = spots.select("conv", F.col("id").alias("need"), after.alias("spot"))
-            late = needs.join(there, ["conv", "need"]).join(spots.select("conv", "id", "call_spot"), ["conv", "id"]).where("spot >= call_spot")
-            late = save(late.groupBy("conv", "id").agg(F.max("spot").alias("spot")), "late")
-            if not late.limit(1).count():
-                break
-            if depth == max_depth:
-                cyclic = late.select("conv", "id", F.lit(True).alias("cyclic"))
-                break
-            moved = F.when(F.col("spot").isNotNull(), F.struct(F.col("spot.t").alias("t"), (F.col("spot.s") + 1).alias("s"))).otherwise(F.col("call_spot"))
-            spots = save(spots.join(late, ["conv", "id"], "left").select("conv", "id", moved.alias("call_spot"), "own"), "spots")
-    spots = spots.select("conv", "id", "call_spot", after.alias("result_spot"))
-    known = ids.join(spots, ["conv", "id"])
-    known = known.join(cyclic, ["conv", "id"], "left") if cyclic is not None else known.withColumn("cyclic", F.lit(None).cast("boolean"))
+        moved = save(_ordered(save(needs, "needs"), spots, after), "moved")
+        spots = spots.join(moved, ["conv", "id"], "left").select("conv", "id", F.coalesce("spot", "call_spot").alias("call_spot"), "own", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+        known = ids.join(spots.select("conv", "id", "call_spot", after.alias("result_spot"), "cyclic"), ["conv", "id"])
 
     out = found.join(known, ["conv", "id"], "left")
     call = F.col("kind") == "call"
@@ -177,6 +165,76 @@ def link(found: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return out.select("conv", "turn", "at", "kind", "id", "name", "status", partner.alias("partner_turn"), "valid", "errors", spot["t"].alias("order_turn"), spot["s"].alias("order_step"), "line")
 
 
+SPOT = "struct<t: bigint, s: int>"
+
+
+def _ordered(needs: DataFrame, spots: DataFrame, after: Column) -> DataFrame:
+    """(conv, id, spot, cyclic) of calls that have needs, in conversations where a need stands too late: where the call goes, and whether
+    its needs lead to a cycle. A cycle has a late need, so other conversations are in order. needs and spots are saved tables."""
+    there = spots.select("conv", F.col("id").alias("need"), after.alias("spot"))
+    edges = needs.join(there, ["conv", "need"]).join(spots.select("conv", "id", "call_spot"), ["conv", "id"])
+    edges = save(edges.withColumn("late", F.col("spot") >= F.col("call_spot")).select("conv", "id", "need", "late"), "edges")
+    told = save(edges.groupBy(F.col("conv").alias("of")).agg(F.count("*").alias("n"), F.max("late").alias("late")).where("late"), "late")
+    few, many = (edges.join(told.where(w), F.col("conv").eqNullSafe(F.col("of")), "left_semi") for w in (f"n <= {TOGETHER}", f"n > {TOGETHER}"))
+    out = _by_task(few, spots)
+    return out.unionByName(_by_rounds(save(many.select("conv", "id", "need"), "left"), spots, after)) if told.where(f"n > {TOGETHER}").limit(1).count() else out
+
+
+def _by_task(edges: DataFrame, spots: DataFrame) -> DataFrame:
+    """_ordered() with all needs of a conversation in one task."""
+    ends = edges.select("conv", F.explode(F.array("id", "need")).alias("id")).distinct().join(spots, ["conv", "id"])
+    ends = ends.select("conv", "id", F.lit(None).cast("string").alias("need"), *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("call_spot", "own") for c in "ts"))
+    rows = edges.select("conv", "id", "need", *(F.lit(None).cast(kind).alias(f"{k}_{c}") for k in ("call_spot", "own") for c, kind in (("t", "bigint"), ("s", "int")))).unionByName(ends)
+
+    def settle(table: pa.Table) -> pa.Table:
+        call, own, wants, users = {}, {}, {}, {}
+        for row in table.to_pylist():
+            if row["need"] is None:
+                call[row["id"]], own[row["id"]] = ((row[f"{k}_t"] is not None, row[f"{k}_t"] or 0, row[f"{k}_s"]) for k in ("call_spot", "own"))
+            else:
+                wants.setdefault(row["id"], []).append(row["need"])
+                users.setdefault(row["need"], []).append(row["id"])
+        left = {i: len(w) for i, w in wants.items()}
+        ready = [i for i in call if i not in wants]
+        while ready:
+            need = ready.pop()
+            for i in users.get(need, ()):
+                left[i] -= 1
+                if left[i]:
+                    continue
+                spot = max(own[n] if not call[n][0] or own[n] > call[n] else (True, call[n][1], call[n][2] + 1) for n in wants[i])
+                if spot >= call[i]:
+                    call[i] = (spot[0], spot[1], spot[2] + 1)
+                ready.append(i)
+        at = [call[i] for i in wants]
+        spots = pa.StructArray.from_arrays([pa.array([t if there else None for there, t, _ in at], pa.int64()), pa.array([s for *_, s in at], pa.int32())], ["t", "s"])
+        conv = pa.repeat(table.column("conv")[0], len(at))
+        return pa.table({"conv": conv, "id": pa.array(list(wants), pa.string()), "spot": spots, "cyclic": pa.array([left[i] > 0 for i in wants], pa.bool_())})
+
+    return by_group(rows, ["conv"], settle, f"conv long, id string, spot {SPOT}, cyclic boolean")
+
+
+def _by_rounds(left: DataFrame, spots: DataFrame, after: Column) -> DataFrame:
+    """_ordered() by rounds, each of which places the calls whose needs are all placed, until none is left or none can be placed."""
+    calls = left.select("conv", "id").distinct()
+    placed = save(spots.join(left.select("conv").distinct(), "conv", "left_semi"), "spots")
+    while True:
+        waiting = left.select("conv", "id").distinct()
+        blocked = left.join(waiting.withColumnRenamed("id", "need"), ["conv", "need"], "left_semi").select("conv", "id").distinct()
+        ready = save(waiting.join(blocked, ["conv", "id"], "left_anti"), "ready")
+        if not ready.limit(1).count():
+            break
+        there = placed.select("conv", F.col("id").alias("need"), after.alias("spot"))
+        most = left.join(ready, ["conv", "id"], "left_semi").join(there, ["conv", "need"]).groupBy("conv", "id").agg(F.max("spot").alias("spot"))
+        next_ = F.struct(F.col("spot.t").alias("t"), (F.col("spot.s") + 1).alias("s"))
+        moved = save(placed.join(most, ["conv", "id"]).select("conv", "id", F.when(F.col("spot") >= F.col("call_spot"), next_).otherwise(F.col("call_spot")).alias("call_spot"), "own"), "moved")
+        placed = save(placed.join(moved, ["conv", "id"], "left_anti").unionByName(moved), "spots")
+        left = save(left.join(ready, ["conv", "id"], "left_anti"), "left")
+    cyclic = left.select("conv", "id", F.lit(True).alias("cyclic")).distinct()
+    out = placed.join(calls, ["conv", "id"], "left_semi").join(cyclic, ["conv", "id"], "left")
+    return out.select("conv", "id", F.col("call_spot").alias("spot"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(events(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).withColumnRenamed("conv", "conv_id")
 

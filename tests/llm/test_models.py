@@ -123,6 +123,62 @@ def test_tool_calls(spark):
     assert tool_calls.link(tool_calls.events(frame.limit(0))).collect() == []
 
 
+def called(conv, turn, key, *needs):
+    """A message with a call that needs others' results."""
+    return conv, turn, "assistant", json.dumps({"tool_calls": [{"id": key, "name": "f", "arguments": {f"a{i}": {"$from": n} for i, n in enumerate(needs)}}]})
+
+
+def gave(conv, turn, key):
+    return conv, turn, "tool", json.dumps({"tool_call_id": key, "content": 1})
+
+
+def linked(spark, messages):
+    frame = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    rows = tool_calls.link(tool_calls.events(frame, {"f": {"*": {}}})).collect()
+    return {(r["conv"], r["kind"], r["id"]): r for r in rows}
+
+
+def test_tool_calls_in_a_long_chain(spark):
+    # Each call but the last needs the next one.
+    chain = [called(1, i, f"c{i}", *([f"c{i + 1}"] if i < 99 else [])) for i in range(100)] + [gave(1, 100 + i, f"c{i}") for i in range(100)]
+    told = linked(spark, chain)
+    assert {r["status"] for r in told.values()} == {"linked"} and all(told[1, "call", f"c{i}"]["partner_turn"] == 100 + i for i in range(100))
+    order = sorted(told.values(), key=lambda r: (r["order_turn"], r["order_step"], r["at"]))
+    assert [r["id"] for r in order if r["kind"] == "call"] == [f"c{i}" for i in reversed(range(100))]
+
+
+@pytest.mark.parametrize("together", [0, 100_000])
+def test_tool_calls_on_and_behind_cycles(spark, monkeypatch, together):
+    monkeypatch.setattr(tool_calls, "TOGETHER", together)
+    messages = [called(1, 0, "p", "q"), called(1, 1, "q", "p"), called(1, 2, "behind", "q"), called(1, 3, "self", "self"), called(1, 4, "before", "free"), called(1, 5, "free", "none")]
+    messages += [gave(1, 6, "p"), gave(1, 7, "q"), gave(1, 8, "before"), gave(1, 9, "free")]
+    messages += [called(2, 0, "x", "y"), called(2, 1, "y"), called(3, 0, "y"), gave(3, 1, "y"), called(3, 2, "x", "y")]
+    told = linked(spark, messages)
+    status = {(c, i): r["status"] for (c, k, i), r in told.items() if k == "call"}
+    assert status == {(1, i): "cyclic" for i in ("p", "q", "behind", "self")} | {(1, "before"): "linked", (1, "free"): "linked", (2, "x"): "unanswered", (2, "y"): "unanswered", (3, "y"): "linked", (3, "x"): "unanswered"}
+    place = {k: (r["order_turn"], r["order_step"]) for k, r in told.items()}
+    assert place[1, "call", "p"] == (0, 0) and place[1, "call", "q"] == (1, 0)
+    assert place[1, "call", "free"] < place[1, "result", "free"] < place[1, "call", "before"] < place[1, "result", "before"]
+    assert place[2, "call", "y"] < place[2, "call", "x"] and place[3, "call", "x"] == (2, 0)
+
+
+def test_tool_calls_by_task_and_by_rounds_alike(spark, monkeypatch):
+    dice = random.Random(6)
+    messages = []
+    for conv in range(12):
+        turns = [None, *range(20)]
+        for i in range(8):
+            below = [f"c{j}" for j in range(8 if conv % 3 == 0 else i) if dice.random() < 0.25]
+            messages.append(called(conv, dice.choice(turns), f"c{i}", *below))
+            if dice.random() < 0.7:
+                messages.append(gave(conv, dice.choice(turns), f"c{i}"))
+    by_task = linked(spark, messages)
+    monkeypatch.setattr(tool_calls, "TOGETHER", 0)
+    assert by_task == linked(spark, messages)
+    assert {r["status"] for r in by_task.values()} >= {"linked", "unanswered", "cyclic"}
+    assert not any(r["status"] == "cyclic" for (conv, *_), r in by_task.items() if conv % 3)
+
+
 @pytest.mark.parametrize("text", ['{"a": 1, "a": 2}', "[NaN]", "{", "[" * 200000])
 def test_text_that_is_no_json(text):
     with pytest.raises(ValueError):

@@ -253,9 +253,16 @@ EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that repeat another one: of each class the document with the least key stays, with all its columns."""
-    gone = save(classes(docs, key, text).where("not kept").select(F.col(key).alias("__gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col(key) == F.col("__gone"), "left_anti")
+    """docs without the rows that repeat another one: of each class the row with the least key stays (null keys last, then any one of
+    them), with all its columns. Rows are judged each, by a saved number, so repeated keys and null keys are no exception. Copies of a
+    text without words are a class; null texts are none."""
+    rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    bare = F.when(~F.col(text).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.col(text))
+    told = classes(rows, "__row", text).select("__row", "class_id").join(rows.select("__row", F.col(key).alias("k"), bare.alias("bare")), "__row")
+    told = save(told.withColumn("class_id", F.when(F.col("bare").isNull(), F.col("class_id"))), "told")
+    least = told.groupBy("class_id", "bare").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "__row")).alias("least")).select("least.__row")
+    gone = save(told.join(least, "__row", "left_anti").select("__row"), "gone")
+    return rows.join(small(gone), "__row", "left_anti").drop("__row")
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,15 +63,15 @@ def _sample(labels: DataFrame, key: str, label: str, n: int) -> DataFrame:
     return save(known.withColumn("half", (_hash01(F.col("k"), "half") < 0.5).cast("int")), "labelled")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED, row: str | None = None) -> tuple[Model, DataFrame]:
     """The model, and for every document k, n_tokens, mean (of log ratios over
-    tokens and pairs, and PRIOR more of ratio 0).
+    tokens and pairs, and PRIOR more of ratio 0), and the column row (a long) if one is named.
 
     Raw counts are over all documents; target counts over good ones of half of the sampled labels. The other half sets the threshold:
     the middle of the gap that best separates good from bad ones (most true accepts minus false accepts, the lowest such). Without
     labels of both kinds nothing is below the threshold; without good ones all ratios are 0. Null texts have no tokens and mean 0."""
     sample = F.broadcast(_sample(labels, key, label, labelled))  # bounded by `labelled`
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *([F.col(row).cast("long")] if row else []))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -99,10 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 buckets, at = token_buckets(data, offsets)
                 n[first:end] = np.bincount(at, minlength=end - first)
                 total[first:end] = np.bincount(at, weights=ratio[buckets], minlength=end - first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total / (n + PRIOR))], ["k", "n_tokens", "mean"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(n), pa.array(total / (n + PRIOR))], ["k", *([row] if row else []), "n_tokens", "mean"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    scored = save(mapped(rows, score, f"k {kind}, n_tokens long, mean double"), "scores")
+    scored = save(mapped(rows, score, f"k {kind}, {f'`{row}` long, ' if row else ''}n_tokens long, mean double"), "scores")
     judged = scored.join(sample.where("half = 1"), "k").select("mean", "good").collect()  # bounded by `labelled`, but for repeated rows
     return Model(ratio, _threshold(np.array([r["mean"] for r in judged]), np.array([r["good"] for r in judged], bool))), scored
 
@@ -122,26 +122,28 @@ def _threshold(means: np.ndarray, good: np.ndarray) -> float:
     return float((means[cut - 1] + means[cut]) / 2) if cut < len(means) else float(means[-1])
 
 
-def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", share: float | None = None) -> DataFrame:
-    """key, n_tokens, log_weight, perturbed, rank and selected for every document.
+def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", share: float | None = None, row: str | None = None) -> DataFrame:
+    """key, n_tokens, log_weight, perturbed, rank and selected for every document, and the column row if one is named.
 
     log_weight is TOKENS times the mean log ratio of target over raw probability. Gumbel noise that a hash of the key fixes is added,
     and the k documents with the largest sums are selected: a sample without replacement in proportion to the weights. k is share of
     all documents or, where share is None, the number of those whose mean reaches the learned threshold. Ranks count from 0, by the
     sum, then key. The rank is global without a task that holds all rows. Documents with null keys share one noise. Repeated rows are
     ranked each; an empty table gives no rows; other columns are ignored."""
-    model, scored = fit(docs, labels, key, text, label)
+    model, scored = fit(docs, labels, key, text, label, row=row)
+    more = [row] if row else []
     noise = -F.log(-F.log(_hash01(F.col("k"), "gumbel")))
-    weighed = scored.select("k", "n_tokens", (F.col("mean") * TOKENS).alias("log_weight"), (F.col("mean") * TOKENS + noise).alias("perturbed"))
+    weighed = scored.select("k", *more, "n_tokens", (F.col("mean") * TOKENS).alias("log_weight"), (F.col("mean") * TOKENS + noise).alias("perturbed"))
     k = round(share * scored.count()) if share is not None else scored.where(F.col("mean") >= F.lit(float(model.threshold))).count()
-    out = ranked(weighed, [F.col("perturbed").desc(), F.col("k"), F.col("n_tokens")], "rank")
-    return out.select(F.col("k").alias(key), "n_tokens", "log_weight", "perturbed", "rank", (F.col("rank") < k).alias("selected"))
+    out = ranked(weighed, [F.col("perturbed").desc(), F.col("k"), F.col("n_tokens"), *map(F.col, more)], "rank")
+    return out.select(F.col("k").alias(key), *more, "n_tokens", "log_weight", "perturbed", "rank", (F.col("rank") < k).alias("selected"))
 
 
 def accept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that select() leaves out, with the same columns. Rows with null keys stay."""
-    out = save(select(docs, labels, key, text).where("not selected").select(F.col(key).alias("__out")).distinct(), "rejected")
-    return docs.join(small(out), F.col(key) == F.col("__out"), "left_anti")
+    """docs without the rows that select() leaves out, with the same columns. Rows are judged each, by a saved number."""
+    rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    out = save(select(rows, labels, key, text, row="__row").where("not selected").select("__row"), "rejected")
+    return rows.join(small(out), "__row", "left_anti").drop("__row")
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

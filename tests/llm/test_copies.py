@@ -81,6 +81,13 @@ def test_keeping_one(spark, docs):
     assert near_dedup.keep_one(docs([])).collect() == []
 
 
+def test_keeping_one_by_row(spark, docs):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(30)) for w in ("ab", "cd", "ef", "gh"))
+    rows = [(5, one), (5, one), (None, two), (None, two), (None, one), (3, three), (9, three), (9, four), (1, "!!!"), (2, "!!!"), (6, "???"), (7, None), (8, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in near_dedup.keep_one(docs(rows)).collect()), key=repr)
+    assert got == sorted([(5, one), (None, two), (3, three), (9, four), (1, "!!!"), (6, "???"), (7, None), (8, None)], key=repr)
+
+
 def test_signatures_estimate_weighted_similarity():
     a, b = np.array([1, 2, 3], np.uint64), np.array([2, 3, 4], np.uint64)
     counts = np.array([5, 2, 40]), np.array([1, 33, 7])

@@ -71,6 +71,17 @@ def test_quality(spark, docs):
     assert kept.columns == docs(rows).columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in told.items() if s} | {None}
 
 
+def test_quality_by_row(spark, docs):
+    """A rejected row takes no other row of its id along, and null ids are judged as others are."""
+    labels = spark.createDataFrame([(i, int(i % 6 != 0)) for i, _ in quality_rows()], "doc_id long, quality int")
+    known = dict(quality_rows())
+    good, bad = (next(known[i] for i in known if (i % 6 != 0) == g) for g in (True, False))
+    rows = [*quality_rows(), (5001, good), (5001, bad), (None, good), (None, bad)]
+    kept = [(r["doc_id"], r["text"]) for r in quality.accept(docs(rows), labels).collect()]
+    assert kept.count((5001, good)) == 1 and (5001, bad) not in kept
+    assert kept.count((None, good)) == 1 and (None, bad) not in kept
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.select(docs(ODD), none).collect()

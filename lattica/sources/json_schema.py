@@ -8,7 +8,7 @@ from typing import Any
 from ..plans.constraints import Anything, Bound, Constraint, Field, Items, Kind, Nothing, OneOf, Pattern, Record, Passes, Value, meet
 
 KINDS = {"string": "string", "integer": "int", "number": "number", "boolean": "bool"}
-#: Levels of references that are followed; columns have no recursive types, so deeper values are admitted as they are.
+#: Levels of a recursive schema that are followed; a value below them is refused. Schemas without recursion are followed to their end.
 DEPTH = 16
 
 
@@ -18,22 +18,30 @@ def _length(name: str, n: int) -> Passes:
     return Passes(f"{name} {n}", (lambda c: F.char_length(c) >= n) if name == "minLength" else (lambda c: F.char_length(c) <= n))
 
 
+def _deeper() -> Passes:
+    from pyspark.sql import functions as F
+
+    return Passes(f"within {DEPTH} levels of recursion", lambda c: F.lit(False))
+
+
 def _multiple(n: float) -> Passes:
     return Passes(f"multipleOf {n}", lambda c: c % n == 0)
 
 
-def constraint(schema: Any, root: Any = None, depth: int = 0) -> Constraint:
+def constraint(schema: Any, root: Any = None, depth: int = 0, within: tuple[str, ...] = ()) -> Constraint:
     """The constraint of a schema: $ref within the document, type, enum, const, allOf, anyOf, oneOf, bounds, lengths, patterns, items,
     properties with required, additionalProperties and patternProperties, and default among the values of an enum."""
     root = schema if root is None else root
-    if schema is True or schema == {} or depth > DEPTH:
+    if schema is True or schema == {}:
         return Anything()
     if schema is False:
         return Nothing("nothing is allowed")
     parts: list[Constraint] = []
     if "$ref" in schema:
         names = [k.replace("~1", "/").replace("~0", "~") for k in schema["$ref"].removeprefix("#").split("/")[1:]]
-        parts.append(constraint(reduce(lambda d, k: d[k], names, root), root, depth + 1))
+        if depth > DEPTH and schema["$ref"] in within:
+            return _deeper()
+        parts.append(constraint(reduce(lambda d, k: d[k], names, root), root, depth + 1, (*within, schema["$ref"])))
     if "const" in schema:
         parts.append(Value(schema["const"]))
     if "enum" in schema:
@@ -42,16 +50,16 @@ def constraint(schema: Any, root: Any = None, depth: int = 0) -> Constraint:
         parts.append(OneOf(tuple(map(Value, values)), default) if len(values) > 1 else Value(values[0]))
     for word in ("anyOf", "oneOf"):
         if word in schema:
-            branches = tuple(constraint(s, root, depth + 1) for s in schema[word])
+            branches = tuple(constraint(s, root, depth + 1, within) for s in schema[word])
             parts.append(branches[0] if len(branches) == 1 else OneOf(branches))
-    parts += [constraint(s, root, depth + 1) for s in schema.get("allOf", [])]
+    parts += [constraint(s, root, depth + 1, within) for s in schema.get("allOf", [])]
     names = schema.get("type")
     names = [n for n in (names if isinstance(names, list) else [names]) if n not in (None, "null")]
-    kinds = [k for n in names if (k := _typed(schema, n, root, depth)) is not None]
+    kinds = [k for n in names if (k := _typed(schema, n, root, depth, within)) is not None]
     if kinds:
         parts.append(kinds[0] if len(kinds) == 1 else OneOf(tuple(kinds)))
     elif "properties" in schema or "additionalProperties" in schema or "patternProperties" in schema:
-        parts.append(_record(schema, root, depth))
+        parts.append(_record(schema, root, depth, within))
     for word, operator in (("minimum", ">="), ("maximum", "<="), ("exclusiveMinimum", ">"), ("exclusiveMaximum", "<")):
         if isinstance(schema.get(word), int | float) and not isinstance(schema[word], bool):
             parts.append(Bound(operator, schema[word]))
@@ -63,25 +71,25 @@ def constraint(schema: Any, root: Any = None, depth: int = 0) -> Constraint:
     return reduce(meet, parts, Anything())
 
 
-def _typed(schema: dict, name: str, root: Any, depth: int) -> Constraint | None:
+def _typed(schema: dict, name: str, root: Any, depth: int, within: tuple[str, ...]) -> Constraint | None:
     if name == "array":
         inner = schema.get("items", True)
-        prefix = tuple(constraint(s, root, depth + 1) for s in schema.get("prefixItems", []))
-        element = None if inner is False else constraint(inner, root, depth + 1)
+        prefix = tuple(constraint(s, root, depth + 1, within) for s in schema.get("prefixItems", []))
+        element = None if inner is False else constraint(inner, root, depth + 1, within)
         return Items(element, prefix, schema.get("minItems", 0), schema.get("maxItems"), bool(schema.get("uniqueItems")))
     if name == "object":
-        return _record(schema, root, depth)
+        return _record(schema, root, depth, within)
     return Kind(KINDS[name]) if name in KINDS else None
 
 
-def _record(schema: dict, root: Any, depth: int) -> Record:
+def _record(schema: dict, root: Any, depth: int, within: tuple[str, ...]) -> Record:
     required = set(schema.get("required", []))
-    fields = {n: Field(constraint(s, root, depth + 1), n not in required) for n, s in schema.get("properties", {}).items()}
+    fields = {n: Field(constraint(s, root, depth + 1, within), n not in required) for n, s in schema.get("properties", {}).items()}
     fields |= {n: Field(Anything()) for n in sorted(required - set(fields))}
-    patterns = [(p, constraint(s, root, depth + 1)) for p, s in schema.get("patternProperties", {}).items()]
+    patterns = [(p, constraint(s, root, depth + 1, within)) for p, s in schema.get("patternProperties", {}).items()]
     more = schema.get("additionalProperties", True)
     if isinstance(more, dict) and not patterns and not fields:
-        patterns.append(("", constraint(more, root, depth + 1)))
+        patterns.append(("", constraint(more, root, depth + 1, within)))
     return Record(tuple(fields.items()), more is False, tuple(patterns), schema.get("minProperties", 0), schema.get("maxProperties"))
 
 

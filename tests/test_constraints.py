@@ -85,3 +85,17 @@ def test_json_schema():
     assert fields["a"] == Field(meet(Kind("int"), Bound(">=", 2))) and fields["b"].optional
     assert fields["b"].constraint == OneOf((Value(1), Kind("string"))) and fields["c"].constraint.most == 3
     assert isinstance(constraint(False), Nothing) and constraint(True) == Anything()
+
+
+def test_json_schema_deeper_than_sixteen_levels(spark):
+    schema, kind, value = {"type": "integer", "minimum": 5}, "int", "3"
+    for _ in range(20):
+        schema, kind, value = {"type": "object", "properties": {"a": schema}}, f"struct<a: {kind}>", f"named_struct('a', {value})"
+    rows = spark.range(1).selectExpr(f"cast({value} as {kind}) as v").select("v.*")
+    assert [v["code"] for v in validate(rows, constraint(schema)).first()["violations"]] == ["eval"]
+    tree = {"$ref": "#/$defs/n", "$defs": {"n": {"type": "object", "properties": {"a": {"$ref": "#/$defs/n"}}}}}
+    kind, value = "int", "3"
+    for _ in range(30):
+        kind, value = f"struct<a: {kind}>", f"named_struct('a', {value})"
+    rows = spark.range(1).selectExpr(f"cast({value} as {kind}) as v").select("v.*")
+    assert validate(rows, constraint(tree)).first()["violations"]

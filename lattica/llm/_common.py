@@ -13,15 +13,19 @@ from ..sources.scratch import partitions, ranked, save, small
 __all__ = ["by_group", "by_groups", "components", "crc_of_id", "mapped", "partitions", "ranked", "save", "small"]
 
 
-#: Rows that go to Python together. With Spark's own number, 10,000, batches of whole texts take hundreds of MB on either side.
-BATCH_ROWS = 512
+#: Rows and bytes that go to Python together. With Spark's own numbers, 10,000 rows of any size, batches of whole texts take hundreds of MB.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow() with batches of BATCH_ROWS rows; a smaller number that the session has set stays."""
-    session, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(session.get(name)) <= BATCH_ROWS:
-        session.set(name, BATCH_ROWS)
+    """df.mapInArrow() with batches of BATCH_ROWS rows and BATCH_BYTES at most (a larger row goes alone). Spark reads these settings when
+    a job runs, so the session keeps them; smaller ones that it has stay."""
+    session = df.sparkSession.conf
+    for name, most in LIMITS.items():
+        now = session.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            session.set(name, most)
     return df.mapInArrow(function, schema)
 
 

@@ -4,7 +4,8 @@ A word is a longest run of digits, letters a-z (A-Z lower-cased) and bytes of no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
-BYTE_VALUES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * STEP)
-_POWERS = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, np.uint64(0xD6E8FEB86659FD93)))])
-    return _POWERS
+#: A lane of n bytes, little-endian, keeps its first n.
+LANE_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -68,34 +61,67 @@ def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = CHUNK) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word: the sum of its lanes of 8 bytes, each mixed with its place, mixed with the length.
+
+    Every lane is mixed before it is added, so no sum of powers is there for words to cancel in."""
     out = np.empty(len(starts), np.uint64)
-    total = np.cumsum(ends - starts)
-    a = 0
+    if not len(starts):
+        return out
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = LOWER[data]
+    lane = np.ndarray((len(data) + 1,), "<u8", low, strides=(1,))
+    size = ends - starts
+    n = (size + 7) >> 3
     with np.errstate(over="ignore"):
-        while a < len(starts):
+        out[:] = mix((lane[starts] & LANE_MASKS[np.minimum(size, 8)]) + STEP)
+        more = np.flatnonzero(n > 1)
+        total = np.cumsum(n[more] - 1)
+        a = 0
+        while a < len(more):  # the lanes after the first ones, `limit` or so together
             done = int(total[a - 1]) if a else 0
             b = max(a + 1, int(np.searchsorted(total, done + limit, side="right")))
-            size = ends[a:b] - starts[a:b]
-            first = np.cumsum(size) - size
-            place = np.arange(int(size.sum())) - np.repeat(first, size)
-            value = BYTE_VALUES[LOWER[data[np.repeat(starts[a:b], size) + place]]]
-            out[a:b] = np.add.reduceat(value * powers(int(size.max()))[place], first) + size.astype(np.uint64)
+            at = more[a:b]
+            lanes = n[at] - 1
+            first = np.cumsum(lanes) - lanes
+            place = np.arange(int(lanes.sum())) - np.repeat(first, lanes) + 1
+            begin = np.repeat(starts[at], lanes) + 8 * place
+            value = lane[begin] & LANE_MASKS[np.minimum(np.repeat(ends[at], lanes) - begin, 8)]
+            out[at] += np.add.reduceat(mix(value ^ mix((place.astype(np.uint64) + np.uint64(1)) * STEP)), first)
             a = b
-        return mix(out)
+        return mix(out ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def rollings(words: np.ndarray, rows: np.ndarray, sizes: Iterable[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, positions, hashes) of every k consecutive words of one row, for each k of sizes."""
+    sizes, out = set(sizes), np.zeros(len(words), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(1, max(sizes, default=0) + 1):
+            n = len(words) - k + 1
+            if n <= 0:
+                return
+            out = out[:n]
+            out ^= words[k - 1 :]
+            out *= np.uint64(0xA0761D6478BD642F)
+            out ^= out >> np.uint64(29)
+            if k in sizes:
+                at = np.flatnonzero(rows[:n] == rows[k - 1 :])
+                yield k, at, mix(out[at] + np.uint64(k))
 
 
 def rolling(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of every k consecutive words of one row."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for i in range(k):
-            out = out * np.uint64(0xA0761D6478BD642F) + words[i : i + n]
-        at = np.flatnonzero(rows[:n] == rows[k - 1 :])
-        return at, mix(out[at] + np.uint64(k))
+    return next(((at, hashed) for _, at, hashed in rollings(words, rows, [k])), (np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+
+
+def digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A 128-bit BLAKE2 digest of each row's words in order, which does not depend on what stands between them."""
+    inside = IN_WORD[data]
+    before = np.zeros(len(data), bool)
+    before[1:] = inside[:-1]
+    kept = inside | before  # a word and one byte after it
+    plain = np.where(inside, LOWER[data], np.uint8(32))[kept].tobytes()
+    cuts = np.concatenate([[0], np.cumsum(kept)])[offsets].tolist()
+    return [hashlib.blake2b(plain[a:b].strip(b" "), digest_size=16).digest() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def hash_of(words: list[bytes]) -> np.ndarray:

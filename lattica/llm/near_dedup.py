@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,10 @@ BANDS, ROWS = 40, 6
 EVENTS = 20_000
 #: What a task holds of one group of candidates, about: larger groups become blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 100, 400_000
+#: What a task holds, of each side, when texts outside a group's largest class meet the others; and sets compared by one product of matrices.
+PART_SHINGLES, TILE = 1_000_000, 1024
+#: Counters (a power of two) that estimate how often the large groups have their shingles; they go through the driver.
+COUNTERS = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,25 +101,19 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """d, n_words, h1 and h2 (of the words in order) and keys (of the bands; null without words) for each document."""
+    """d, n_words, digest (of the words in order) and keys (of the bands; null without words) for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in _words.chunks(batch.column(1)):
                 n = end - first
-                at, grams, counts, n_words, sequence = shingles(data, offsets, k)
+                at, grams, counts, n_words, _ = shingles(data, offsets, k)
                 keys = band_keys(signatures(at, grams, counts, n, bands * rows), bands)
-                with np.errstate(over="ignore"):
-                    mixed = _words.mix(grams ^ np.uint64(0x8CB92BA72F3D8DD7)) * counts.astype(np.uint64)
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
-                    cuts = np.searchsorted(at, np.arange(n + 1))
-                    second = (total[cuts[1:]] - total[cuts[:-1]]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel()), mask=pa.array(n_words == 0))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(n_words.astype(np.int64)), pa.array(sequence.view(np.int64)), pa.array(second), lists], ["d", "n_words", "h1", "h2", "keys"]
-                )
+                digests = pa.array(_words.digests(data, offsets), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(n_words.astype(np.int64)), digests, lists], ["d", "n_words", "digest", "keys"])
 
-    return mapped(docs, run, "d long, n_words long, h1 long, h2 long, keys array<long>")
+    return mapped(docs, run, "d long, n_words long, digest binary, keys array<long>")
 
 
 def _overlap(a: set, b: set, least: float) -> bool:
@@ -158,33 +157,104 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     text_class is the least key of the documents with the same words in the same order; class_id the least key that can be reached over
     links, which are pairs of texts whose multisets of k-word shingles have a weighted Jaccard similarity of at least `similarity`, among
     those that agree in some band; kept tells whether key = class_id. Words are those of _words; texts of fewer than k words are one
-    shingle; texts without words, or null, and null keys, are classes of their own. Repeated rows (same key and text) share a class and are all marked
-    alike. An empty table gives no rows; other columns are ignored.
-
-    Copies are reduced to one text before anything else. A bucket (texts with one band key) is never expanded: its texts link to its
-    least one in a graph of candidates, whose components are the groups to verify. A group is cut into blocks of bounded size; in a
-    block every pair of texts not yet joined is compared exactly, in a task. Large groups are dealt anew into other blocks, which join
-    the classes of the first ones; then the texts still outside a group's largest class meet all its blocks. So a text is shuffled
-    with its shingles once or twice, and once more for each block only if it is such an outsider; no pair of one class is missed."""
+    shingle; texts without words, or null, and null keys, are classes of their own. Repeated rows (same key and text) share a class and are all
+    marked alike; a key with several texts joins their classes. An empty table gives no rows; other columns are ignored.
+
+    Copies, by a 128-bit digest of their words, are reduced to one text before anything else. A bucket (texts with one band key) is
+    never expanded: its texts link to its least one in a graph of candidates, whose components are the groups to verify. In a group of
+    one block every pair of texts not yet joined is compared exactly, in a task. A larger group is split first, see prefixes(): texts
+    that only share boilerplate fall apart, as no pair of them can be similar enough. What is still larger than a block is cut into
+    blocks and dealt anew into other ones, which join the classes of the first; then the texts still outside its largest class meet
+    all its texts, in parts of PART_SHINGLES. So a text is shuffled with its shingles once or twice, and once more for each such part
+    of a group that no filter could split; no pair of one group is missed."""
     source = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
     signed = save(_signed(source, k, bands, rows), "signed")
     worded = signed.where("keys is not null and d is not null")
-    texts = save(worded.groupBy("h1", "h2").agg(F.min("d").alias("c"), F.first("keys").alias("keys")), "texts")
-
-    banded = texts.select("c", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m < x").select("key", "m")
-    near = save(banded.join(small(save(buckets, "buckets")), "key").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct(), "near")
-    groups = save(components(near).withColumnsRenamed({"node": "c", "component": "g"}), "groups")
+    texts = save(worded.groupBy("digest").agg(F.min("d").alias("c"), F.first("keys").alias("keys")), "texts")
+    groups = _groups(texts.select("c", F.explode("keys").alias("key")))
 
     found = verified(source, groups, k, similarity)
-    told = texts.select("h1", "h2", F.col("c").alias("text_class")).join(found.withColumnsRenamed({"node": "text_class"}), "text_class", "left")
+    told = texts.select("digest", F.col("c").alias("text_class")).join(found.withColumnsRenamed({"node": "text_class"}), "text_class", "left")
     told = save(told, "told")  # a table of its own, so that adaptive execution can split the rows of a much copied text
-    out = signed.join(told, ["h1", "h2"], "left").withColumn("plain", F.col("keys").isNull() | F.col("d").isNull())
+    out = signed.join(told, "digest", "left").withColumn("plain", F.col("keys").isNull() | F.col("d").isNull())
     own = lambda column: F.when(F.col("plain"), F.col("d")).otherwise(column)
     out = out.select(F.col("d").alias(key), "n_words", own(F.col("text_class")).alias("text_class"), own(F.coalesce("component", "text_class")).alias("class_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("class_id")))
 
 
+def _groups(keyed: DataFrame) -> DataFrame:
+    """(c, g): texts c that share a key, directly or over others, are of one group g, their least one; texts that share none are absent.
+
+    keyed has c and key, and is read twice. A bucket is a star around its least text, so it costs a row for each text."""
+    buckets = keyed.groupBy("key").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m < x").select("key", "m")
+    near = keyed.join(small(save(buckets, "buckets")), "key").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
+    return save(components(save(near, "near")).withColumnsRenamed({"node": "c", "component": "g"}), "groups")
+
+
+def _blocks(sets: DataFrame) -> DataFrame:
+    """(g, blocks) of sets' groups, saved."""
+    weights = sets.groupBy("g").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS)).cast("int")
+    return save(weights.select("g", blocks.alias("blocks")), "blocks")
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(c, key): two texts of a group g whose similarity is at least `similarity` have a key in common, surely; few others do.
+
+    Two multisets of sizes x and y need an overlap of similarity / (1 + similarity) * (x + y). So, with all shingles in one order, the
+    first x - overlap + 1 of one and y - overlap + 1 of the other have one in common. The order is by how often a group has a shingle,
+    rarest first, so what comes first is a text's own, not boilerplate. How often is estimated by COUNTERS counters, whatever the
+    input, as the order need not be exact, only the same for all. A size has a class, some per cent wide; a text gives keys for each
+    class that a partner may have, with the prefix that this class needs."""
+    step = -math.log(similarity) / 8
+
+    def counter(tokens: np.ndarray, g: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (_words.mix(tokens + _words.mix(np.array([g]).astype(np.uint64))) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens = batch.column(1)[i].values.to_numpy().view(np.uint64)
+                np.add.at(seen, counter(tokens, batch.column(0)[i].as_py()), 1)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["counter", "n"])
+
+    counted = mapped(sets.select("g", "shingles"), count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)  # COUNTERS rows at most came back
+    often[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+
+    def keys(c: int, g: int, tokens: np.ndarray) -> np.ndarray:
+        size = len(tokens)
+        if not size:
+            return np.zeros(0, np.uint64)
+        n = often[counter(tokens, g)]
+        order = np.lexsort((_words.mix(tokens), n))
+        tokens, n = tokens[order], n[order]
+        own, out = math.floor(math.log(size) / step + 1e-9), []
+        for other in range(own - 9, own + 10):
+            least = max(math.ceil(similarity * size - 1e-6), math.floor(math.exp(other * step)) - 1)
+            most = min(math.floor(size / similarity + 1e-6), math.ceil(math.exp((other + 1) * step)) + 1)
+            length = size - math.ceil(similarity / (1 + similarity) * (size + least) - 1e-6) + 1
+            if least > most or length <= 0:
+                continue
+            shared = tokens[:length][n[:length] > 1]  # a shingle of this text only joins nothing
+            with np.errstate(over="ignore"):
+                classes = _words.mix(np.array([min(own, other) * 4096 + max(own, other), g]).astype(np.uint64))
+                out.append(_words.mix(shared ^ (classes[0] + _words.mix(classes[1:])[0])))
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c, g = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                made = keys(c, g, batch.column(2)[i].values.to_numpy().view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), c, np.int64)), pa.array(made)], ["c", "key"])
+
+    return mapped(sets.select("c", "g", "shingles"), run, "c long, key long")
+
+
 def verified(source: DataFrame, groups: DataFrame, k: int, similarity: float) -> DataFrame:
     """(node, component) over exact links between texts c of a group g. source has d and t."""
 
@@ -203,29 +273,31 @@ def verified(source: DataFrame, groups: DataFrame, k: int, similarity: float) ->
     wanted = source.join(small(groups), source["d"] == groups["c"]).select("c", "g", "t")
     sets = mapped(wanted, run, "c long, g long, size long, shingles array<long>")
     sets = save(sets, "shingles")
-    weights = sets.groupBy("g").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
-    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_TEXTS)).cast("int")
-    weights = save(weights.select("g", blocks.alias("blocks")), "blocks")
-    sets = sets.join(small(weights), "g")
+    blocks = _blocks(sets)
+    large = small(blocks.where("blocks > 1").select("g"))
+    if large.limit(1).count():
+        split = _groups(save(prefixes(sets.join(large, "g"), similarity), "prefixes"))
+        sizes = sets.select("c", "g", "size")
+        placed = sizes.join(large, "g", "left_anti").unionByName(sizes.drop("g").join(small(split), "c"))
+        placed = save(placed.select("c", "g", "size"), "placed")
+        blocks = _blocks(placed)
+        sets = sets.drop("g").join(small(placed.drop("size")), "c")
+    sets = sets.join(small(blocks), "g")
 
     def linked(group: pa.Table) -> pa.Table | None:
-        """Links between texts of different classes: of all pairs, or, where some are marked as outside, of those with others only."""
-        c, component, outside = (group.column(x).to_pylist() for x in ("c", "component", "outside"))
+        """Links between texts of different classes."""
+        c, component = (group.column(x).to_pylist() for x in ("c", "component"))
         if len(set(component)) < 2:
             return None
         own = [set(x) for x in group.column("shingles").to_pylist()]
         number = {x: i for i, x in enumerate(sorted(set(component)))}
-        if any(outside):
-            left, right = [i for i, s in enumerate(outside) if s], [i for i, s in enumerate(outside) if not s]
-            pairs = ((i, j) for i in left for j in right)
-        else:
-            pairs = ((j, i) for i in range(len(c)) for j in range(i))
+        pairs = ((j, i) for i in range(len(c)) for j in range(i))
         out = _linked(own, [number[x] for x in component], pairs, similarity)
         return pa.table({"a": [c[i] for i, _ in out], "b": [c[j] for _, j in out]}, schema=EDGE)
 
     def dealt(rows: DataFrame, salt: int) -> DataFrame:
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("c", F.lit(salt)), F.col("blocks")).cast("int")).withColumn("outside", F.lit(False))
-        return by_group(rows.select("g", "block", "c", "component", "outside", "shingles"), ["g", "block"], linked, "a long, b long")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("c", F.lit(salt)), F.col("blocks")).cast("int"))
+        return by_group(rows.select("g", "block", "c", "component", "shingles"), ["g", "block"], linked, "a long, b long")
 
     edges = save(dealt(sets.withColumn("component", F.col("c")), 0), "links")
     found = components(edges)
@@ -236,19 +308,78 @@ def verified(source: DataFrame, groups: DataFrame, k: int, similarity: float) ->
     edges = edges.unionByName(save(dealt(classed(), 1), "links"))
     found = components(edges)
 
-    # Texts outside a large group's largest class, in parts of bounded size, meet all of the group's blocks.
+    # Texts outside a large group's largest class, in parts, meet all of the group's texts, in parts too.
     sizes = save(classed().groupBy("g", "component").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "sizes")
-    main = sizes.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("n").alias("most"))
-    main = save(main.where("n > most").select("g", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK_TEXTS).cast("int").alias("parts")), "main")
+    main = sizes.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max_by("total", F.struct("n", "component")).alias("inside"), F.sum("total").alias("total"))
+    parts = lambda total: F.ceil(total / PART_SHINGLES).cast("int")
+    main = save(main.where("total > inside").select("g", "main", parts(F.col("total") - F.col("inside")).alias("lefts"), parts(F.col("total")).alias("rights")), "main")
     rest = classed().join(small(main), "g").withColumn("outside", F.col("component") != F.col("main"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     one = lambda n, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(n)).cast("int")
-    sent = rest.where("outside").withColumn("part", one("parts", 2)).withColumn("block", F.explode(every("blocks"))).select("g", "block", "part", "c", "component", "outside", "shingles")
-    met = rest.withColumn("outside", F.lit(False)).withColumn("block", one("blocks", 0)).withColumn("part", F.explode(every("parts"))).select(*sent.columns)
-    more = save(by_group(sent.unionByName(met), ["g", "block", "part"], linked, "a long, b long"), "links")
+    sent = rest.where("outside").withColumn("part", one("lefts", 2)).withColumn("block", F.explode(every("rights"))).select("g", "block", "part", "c", "component", "outside", "shingles")
+    met = rest.withColumn("outside", F.lit(False)).withColumn("block", one("rights", 0)).withColumn("part", F.explode(every("lefts"))).select(*sent.columns)
+
+    def met_by_others(group: pa.Table) -> pa.Table | None:
+        outside = group.column("outside").to_numpy(zero_copy_only=False)
+        c, component = group.column("c").to_numpy(), group.column("component").to_numpy()
+        tokens = group.column("shingles").combine_chunks()
+        cuts, tokens = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+        a, b = links_between(tokens, cuts, np.flatnonzero(outside), np.flatnonzero(~outside), component, similarity)
+        return pa.table({"a": c[a], "b": c[b]}, schema=EDGE) if len(a) else None
+
+    more = save(by_group(sent.unionByName(met), ["g", "block", "part"], met_by_others, "a long, b long"), "links")
     return components(edges.unionByName(more))
 
 
+def links_between(tokens: np.ndarray, cuts: np.ndarray, left: np.ndarray, right: np.ndarray, component: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), places of links between left and right sets that join the components as far as pairs are similar.
+
+    Set i is tokens[cuts[i] : cuts[i + 1]]. Overlaps of a tile of sets are a product of two matrices that tell which set has which token,
+    some columns at a time, so exact comparison of all pairs costs little memory and about a tenth of a microsecond a pair."""
+    _, column = np.unique(tokens, return_inverse=True)
+    _, label = np.unique(component, return_inverse=True)
+    size, label = np.diff(cuts), label.copy()
+    made_a, made_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def dense(rows: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        at = np.repeat(np.arange(len(rows)), size[rows])
+        own = np.concatenate([place[column[cuts[r] : cuts[r + 1]]] for r in rows])
+        out = np.zeros((len(rows), n + 1), np.float32)  # the last column takes what is not wanted
+        out[at, own] = 1
+        return out[:, :n]
+
+    for i in range(0, len(left), TILE):
+        rows = left[i : i + TILE]
+        have = np.zeros(column.max(initial=-1) + 1, bool)
+        for r in rows:
+            have[column[cuts[r] : cuts[r + 1]]] = True
+        for j in range(0, len(right), TILE):
+            others = right[j : j + TILE]
+            both = np.zeros(len(have), bool)
+            for r in others:
+                both[column[cuts[r] : cuts[r + 1]]] = True
+            shared = np.flatnonzero(have & both)
+            overlap = np.zeros((len(rows), len(others)), np.float32)
+            for s in range(0, len(shared), TILE):
+                some = shared[s : s + TILE]
+                place = np.full(len(have), len(some), np.int64)
+                place[some] = np.arange(len(some))
+                overlap += dense(rows, place, len(some)) @ dense(others, place, len(some)).T
+            union = size[rows][:, None] + size[others][None, :] - overlap
+            near = (overlap >= least * union - 1e-9) & (label[rows][:, None] != label[others][None, :])
+            a, b = np.nonzero(near)
+            a, b = rows[a], others[b]
+            while len(a):  # one link for each pair of components that still differ
+                _, first = np.unique(label[a], return_index=True)
+                a_, b_ = a[first[0]], b[first[0]]
+                made_a.append(np.array([a_]))
+                made_b.append(np.array([b_]))
+                label[label == label[a_]] = label[b_]
+                differ = label[a] != label[b]
+                a, b = a[differ], b[differ]
+    return np.concatenate(made_a), np.concatenate(made_b)
+
+
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 

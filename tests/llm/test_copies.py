@@ -11,6 +11,7 @@ from lattica.llm import embeddings, near_dedup
 from lattica.llm._common import components
 
 from .conftest import ODD, words
+from .test_texts import opposite
 
 
 def bag(text, k=5):
@@ -71,6 +72,64 @@ def test_large_group_in_blocks(spark, docs, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in got} == classes(rows, 0.85)
 
 
+def test_boilerplate_falls_apart(spark, docs, monkeypatch):
+    """Texts with much boilerplate in common share bands, so they are one group of candidates; no prefix joins them, so none is compared."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 20)
+    pick = random.Random(8)
+    common = " ".join(f"v{i}" for i in range(300))
+    own = lambda n: " ".join(f"u{pick.randrange(10**9)}" for _ in range(n))
+    rows = [(i, f"{common} {own(pick.randrange(80, 110))}") for i in range(300)]
+    rows += [(1000 + i, f"{t} {own(3)}") for i, t in rows[:5]]
+    bags = [bag(t) for _, t in rows]
+    between = [sum((a & b).values()) / sum((a | b).values()) for n, a in enumerate(bags[:60]) for b in bags[:n]]
+    assert 0.5 < min(between) and 0.6 < max(between) < 0.8
+    compared = []
+    linked = near_dedup.by_group
+    monkeypatch.setattr(near_dedup, "by_group", lambda frame, *a: compared.append(frame.count()) or linked(frame, *a))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs(rows)).collect()}
+    assert got == {i: i % 1000 for i, _ in rows} and sum(compared) == 10
+
+
+def test_large_group_without_a_large_class(spark, docs, monkeypatch):
+    """Edits all over one text: no filter tells such texts apart, so all meet, in parts."""
+    for name, size in (("BLOCK_TEXTS", 10), ("PART_SHINGLES", 3000), ("TILE", 7)):
+        monkeypatch.setattr(near_dedup, name, size)
+    pick = random.Random(9)
+    original = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(original)
+        for at in pick.sample(range(120), pick.choice([0, 1, 3, 4])):
+            copy[at] = f"u{pick.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    want = classes(rows)
+    assert 5 < len(set(want.values())) < 60
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs(rows)).collect()} == want
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
+def test_similar_pairs_share_a_prefix(spark, similarity):
+    pick = random.Random(3)
+    sets = []
+    for _ in range(12):
+        base = [pick.randrange(1, 200) for _ in range(pick.choice([4, 30, 90]))]
+        for _ in range(8):
+            x = {v if pick.random() > 0.3 * (1 - similarity) else pick.randrange(1, 200) for v in base} | {pick.randrange(1, 200) for _ in range(pick.randrange(2 if similarity > 0.9 else 6))}
+            sets.append(sorted(x))
+    frame = spark.createDataFrame([(i, 7, x) for i, x in enumerate(sets)], "c long, g long, shingles array<long>")
+    keys = {}
+    for r in near_dedup.prefixes(frame, similarity).collect():
+        keys.setdefault(r["c"], set()).add(r["key"])
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= similarity * len({*sets[i], *sets[j]})]
+    assert len(pairs) > 20 and all(keys[i] & keys[j] for i, j in pairs)
+
+
+def test_words_that_cancel_are_not_copies(spark, docs):
+    one, other = opposite()
+    got = {r["doc_id"]: (r["text_class"], r["class_id"]) for r in near_dedup.classes(docs([(1, one), (2, other), (3, one.upper())])).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (1, 1)}
+
+
 def test_keeping_one(spark, docs):
     rows = [*ODD, *texts(3)]
     frame = docs(rows)

@@ -87,9 +87,11 @@ def test_contamination(spark, docs, seed):
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=repr) == sorted(((i, *brute(t, items, 4)) for i, t in rows), key=repr)
 
 
-def test_more_items_than_one_automaton_holds(spark, docs, monkeypatch):
+@pytest.mark.parametrize("per_pass", [1, 8])
+def test_more_items_than_one_automaton_holds(spark, docs, monkeypatch, per_pass):
     monkeypatch.setattr(contamination, "WORDS_PER_AUTOMATON", 5)
     items = [("a", "x y z u"), ("b", "z u v w"), ("c", "x")]
+    monkeypatch.setattr(contamination, "AUTOMATA_PER_PASS", per_pass)
     text = "x y z u v w x"
     row = contamination.find(docs([(1, text)]), spark.createDataFrame(items, "item_id string, text string"), window=3).first()
     assert (row["n_words"], row["n_hit"], row["items"]) == brute(text, items, 3)
@@ -101,6 +103,44 @@ def test_no_items_and_no_documents(spark, docs):
     assert contamination.find(docs([]), none).collect() == []
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_long_items_in_parts_and_passes(spark, docs, monkeypatch, seed):
+    monkeypatch.setattr(contamination, "WORDS_PER_AUTOMATON", 40)
+    monkeypatch.setattr(contamination, "AUTOMATA_PER_PASS", 2)
+    pick = random.Random(seed)
+    say = lambda n: " ".join(f"w{pick.randrange(9)}" for _ in range(n))
+    items = [(str(i), say(pick.choice([2, 5, 30, 90]))) for i in range(12)]
+    rows = [*ODD, *((100 + i, " ".join([say(20), *items[i % 12][1].split()[3:40], say(9)])) for i in range(30))]
+    got = contamination.find(docs(rows), spark.createDataFrame(items, "item_id string, text string"), window=4).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=repr) == sorted(((i, *brute(t, items, 4)) for i, t in rows), key=repr)
+    for r in got:
+        octets = r["text"].encode() if r["text"] else b""
+        assert all(len(words(octets[s["first_byte"] : s["end_byte"]].decode())) == s["end"] - s["start"] for s in r["spans"])
+
+
+def opposite(n=1024):
+    """Words that cancel in every sum of powers: a Thue-Morse word and its complement."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_cancel_are_different_words(spark, docs):
+    one, other = opposite()
+    assert len(set(_words.hash_of([one.encode(), other.encode()]).tolist())) == 2
+    rows = [(1, f"x {one} y"), (2, f"x {other} y")]
+    got = {r["doc_id"]: r["n_hit"] for r in contamination.find(docs(rows), spark.createDataFrame([("i", one)], "item_id string, text string")).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_no_long_span_is_left(spark, docs):
+    item = [f"b{i}" for i in range(15)]
+    clean = " ".join(f"c{i}" for i in range(900))
+    nested = " ".join([*item[:7], *item, *item[7:]])  # what is left around the inner one is the item again
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    kept = contamination.remove(docs([(1, f"{clean} {nested} {clean}"), (2, f"{clean} {' '.join(item)}")]), items, max_words=12)
+    assert [r["n_hit"] for r in contamination.find(kept, items).collect()] == [0, 0]
+
+
 def test_removing(spark, docs):
     item = " ".join(f"b{i}" for i in range(15))
     clean = " ".join(f"c{i}" for i in range(400))
@@ -109,7 +149,7 @@ def test_removing(spark, docs):
     kept = contamination.remove(docs(rows), items)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5] and kept.columns == docs(rows).columns
     cut = {r["doc_id"]: r["text"] for r in contamination.remove(docs(rows), items, max_words=13).collect()}
-    assert cut[2] == f"{clean} " and cut[5] == f"É {clean}: ! {clean}" and cut[3] == clean and cut[4] is None
+    assert cut[2] == f"{clean}  \u2026 " and cut[5] == f"É {clean}:  \u2026 ! {clean}" and cut[3] == clean and cut[4] is None
 
 
 def test_digest_of_no_items(spark, data):

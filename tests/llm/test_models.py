@@ -190,7 +190,86 @@ def test_tool_calls_by_task_and_by_rounds_alike(spark, monkeypatch):
     assert not any(r["status"] == "cyclic" for (conv, *_), r in by_task.items() if conv % 3)
 
 
-@pytest.mark.parametrize("text", ['{"a": 1, "a": 2}', "[NaN]", "{", "[" * 200000])
+ODD_MESSAGES = [
+    ("assistant", '{"tool_calls": [{"id": "a", "name": "f", "arguments": {"x": 1e400}}]}'), ("assistant", '{"tool_calls": [{"id": "a", "name": "f", "arguments": "{\\"x\\": 1e400}"}]}'),
+    ("assistant", '{"tool_calls": [{"id": "\\ud800", "name": "f"}]}'), ("assistant", '{"tool_calls": [{"id": "b", "name": "\\udfff", "arguments": "{\\"\\\\ud800\\": 1}"}]}'),
+    ("assistant", '{"tool_calls": [], "content": "hello"}'), ("assistant", '{"tool_calls": []}'), ("assistant", '{"tool_calls": [{"id": 7, "name": null, "arguments": {"x": [{"$from": "c"}]}}, 5], "content": "also"}'),
+    ("user", '{"tool_calls": [{"id": "u", "name": "f", "arguments": {}}]}'), ("tool", '{"tool_call_id": 7, "content": -0.0}'), ("tool", '{"tool_call_id": {"a": [1]}}'), ("tool", "plain"),
+    ("assistant", '{"tool_calls": [{"id": "d", "name": "f", "arguments": ' + '{"a":' * 3000 + "1" + "}" * 3000 + "}]}"), ("assistant", '{"tool_calls": ' + "[" * 100000), (None, None), ("system", "x" * 300000), ("tool", '{"tool_call_id": "z", "content": 1' + "0" * 5000 + "}"),
+]
+
+
+def test_every_message_gives_a_row(spark):
+    frame = spark.createDataFrame([(1, 1000 + i, r, t) for i, (r, t) in enumerate(ODD_MESSAGES)], "conv_id long, turn long, role string, text string")
+    rows = tool_calls.link(tool_calls.events(frame, {"f": {"*": {}}, "reply": tool_calls.SCHEMAS["reply"]})).collect()
+    assert {r["turn"] for r in rows} == {1000 + i for i in range(len(ODD_MESSAGES))}
+    assert all(json.loads(r["line"]) for r in rows)
+    told = {(r["turn"] - 1000, r["kind"], r["at"]): r for r in rows}
+    assert (0, "result", 0) in told and told[1, "call", 0]["errors"] == "arguments are no JSON" and (2, "result", 0) in told  # what is no JSON is an answer
+    assert json.loads(told[4, "note", 0]["line"])["content"] == "hello" and json.loads(told[5, "note", 0]["line"])["content"] is None
+    assert told[6, "call", 0]["id"] == "7" and told[6, "call", 0]["status"] == "linked" and told[6, "call", 0]["open_needs"] == 1 and told[6, "call", 1]["status"] == "unanswered"
+    assert json.loads(told[6, "note", 2]["line"])["content"] == "also" and told[8, "result", 0]["partner_turn"] == 1006
+    assert told[7, "call", 0]["id"] == "turn:1007" and told[9, "result", 0]["id"] == '{"a":[1]}' and told[10, "note", 0]["line"]
+
+
+def levels(calls):
+    """The level of each call by its needs, and those that lead to a cycle, by plain recursion."""
+    out, on = {}, set()
+
+    def level(i):
+        if i in on:
+            return None
+        if i not in out:
+            on.add(i)
+            below = [level(n) for n in calls[i] if n in calls]
+            on.discard(i)
+            if None in below:
+                return None
+            out[i] = max([0, *(b + 2 for b in below)])
+        return out[i]
+
+    return {i: level(i) for i in calls}
+
+
+@pytest.mark.parametrize("together", [0, 100_000])
+def test_topological_order_against_a_plain_sort(spark, monkeypatch, together):
+    monkeypatch.setattr(tool_calls, "TOGETHER", together)
+    dice = random.Random(16)
+    graphs, messages = {}, []
+    for conv in range(6):
+        ids = [f"c{i}" for i in range(25)]
+        graphs[conv] = {i: sorted({dice.choice(ids if conv % 2 and dice.random() < 0.1 else ids[:n]) for _ in range(dice.choice([0, 1, 1, 3]))} if n else {"gone"}) for n, i in enumerate(ids)}
+        if conv == 0:
+            graphs[conv] = {i: [f"c{n - 1}"] if n else [] for n, i in enumerate(ids)}
+        turns = dice.sample(range(200), 50)
+        for i, needs in graphs[conv].items():
+            messages += [called(conv, turns.pop(), i, *needs), gave(conv, turns.pop(), i)]
+    dice.shuffle(messages)
+    told = linked(spark, messages)
+    for conv, calls in graphs.items():
+        want = levels(calls)
+        assert {i: told[conv, "call", i]["level"] for i in calls} == want
+        assert {i for i in calls if told[conv, "call", i]["status"] == "cyclic"} == {i for i in calls if want[i] is None}
+        assert all(told[conv, "result", i]["level"] == want[i] + 1 for i in calls if want[i] is not None)
+        place = {(k, i): (told[conv, k, i]["order_turn"], told[conv, k, i]["order_step"], told[conv, k, i]["at"]) for k in ("call", "result") for i in calls}
+        for i, needs in calls.items():
+            if want[i] is not None:
+                assert place["call", i] < place["result", i] and all(place["result", n] < place["call", i] for n in needs if n in calls)
+            assert told[conv, "call", i]["open_needs"] == sum(n not in calls for n in needs)
+    assert any(None in levels(c).values() for c in graphs.values())
+
+
+def test_a_long_chain_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(tool_calls, "TOGETHER", 0)
+    saved = []
+    save = tool_calls.save
+    monkeypatch.setattr(tool_calls, "save", lambda frame, name: saved.append(name) or save(frame, name))
+    told = linked(spark, [called(1, i, f"c{i}", *([f"c{i + 1}"] if i < 199 else [])) for i in range(200)])
+    assert [told[1, "call", f"c{i}"]["level"] for i in range(200)] == [2 * (199 - i) for i in range(200)]
+    assert saved.count("left") <= 11  # a logarithm of 200, and some
+
+
+@pytest.mark.parametrize("text", ['{"a": 1, "a": 2}', "[NaN]", "[1e400]", "[-1e999]", '["\\ud800"]', "{", "[" * 200000])
 def test_text_that_is_no_json(text):
     with pytest.raises(ValueError):
         tool_calls.parsed(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import partitions, save
@@ -42,13 +42,21 @@ def shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "tex
         F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("bytes_in"),
         (F.row_number().over(within) - 1).alias("row_in"),
     ).join(F.broadcast(totals), "part")
-    middle = ((F.col("bytes_before") + F.col("bytes_in")) * 2 + F.col("size")).cast("decimal(30,0)")
-    shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / (F.col("total") * 2).cast("decimal(30,0)")).cast("int"))
+    shard = shard_of(F.col("bytes_before") + F.col("bytes_in"), F.col("size"), F.col("total"), n_shards)
     placed = save(placed.select("k", "size", "text_crc32", shard.alias("shard"), (F.col("rows_before") + F.col("row_in")).alias("row")), "placed")
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))  # n_shards rows
     return placed.join(F.broadcast(firsts), "shard").select(F.col("k").alias(key), "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"))
 
 
+def shard_of(before: Column, size: Column, total: Column, n_shards: int) -> Column:
+    """Where the middle of a row of that size, which comes after so many bytes of a total, falls among n_shards equal targets.
+
+    Whole numbers of 38 digits, so it is exact up to 10^17 bytes and 10^18 shards; a decimal quotient would be rounded first."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    middle = wide(wide(before) * 2 + size) * n_shards
+    return F.least(F.lit(n_shards - 1), F.call_function("div", wide(middle), wide(wide(total) * 2)).cast("int"))
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), n_shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

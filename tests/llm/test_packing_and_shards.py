@@ -106,9 +106,7 @@ def plain_rule(url, rules):
     return host, path, best[2], best[3]
 
 
-@pytest.mark.parametrize("limit", [url_filter.MAX_LEVEL_BYTES, 0])
-def test_url_rules(spark, monkeypatch, limit):
-    monkeypatch.setattr(url_filter, "MAX_LEVEL_BYTES", limit)
+def test_url_rules(spark):
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate([*URLS, URLS[5]])], "page_id long, url string, rule string, host string")
     got = url_filter.judge(pages, url_filter.RULES).collect()
     assert sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got if r["rule"]) == sorted((i, *plain_rule(u, url_filter.RULES)) for i, u in enumerate([*URLS, URLS[5]]) if plain_rule(u, url_filter.RULES)[2])
@@ -117,11 +115,34 @@ def test_url_rules(spark, monkeypatch, limit):
     assert {r["verdict"] for r in url_filter.judge(pages, []).collect()} == {"allow"}
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+def test_cascades_are_exact_over_their_universe(spark):
     from pyspark.sql import functions as F
 
     universe = spark.range(20000).select(F.concat(F.lit("h"), "id").alias("key"))
-    listed = universe.where("key like 'h%7'")
-    levels = url_filter.cascade(listed, universe, 2000, 20000)
-    wrong = universe.withColumn("in", url_filter.listed_in(levels, F.col("key"))).where(F.col("in") != F.col("key").endswith("7"))
-    assert len(levels) > 2 and wrong.count() == 0
+    listed = {"seven": [f"h{i}" for i in range(7, 20000, 10)], "none": [], "far": ["x1", "h12"]}
+    made = url_filter.cascades(listed, universe, 20000)
+    assert set(made) == {"seven", "far"} and len(made["seven"]) > 2
+    for name, levels in made.items():
+        assert {r["key"] for r in universe.where(url_filter.listed_in(levels, F.col("key"))).collect()} == {k for k in listed[name] if k[0] == "h"}
+
+
+def test_a_hundred_thousand_rules_without_a_join(spark):
+    rules = [("block" if i % 3 else "allow", f"h{i}.net", "/en/" if i % 2 else "/") for i in range(100_000)]
+    pages = spark.range(3000).selectExpr("id as page_id", "concat('http://', if(id % 2 = 0, 'www.', ''), 'h', id * 61, '.net/', if(id % 5 = 0, 'en/x', 'de')) as url")
+    judged = url_filter.judge(pages, rules)
+    assert "Join" not in judged._jdf.queryExecution().executedPlan().toString()
+    known = {h: (v, h + p, p) for v, h, p in rules}
+    for r in judged.collect():
+        v, rule, path = known.get(f"h{r['page_id'] * 61}.net", ("allow", None, "?"))
+        assert (r["rule"], r["verdict"]) == ((rule, v) if r["path"].startswith(path) else (None, "allow"))
+
+
+def test_shards_of_a_hundred_terabytes(spark):
+    from pyspark.sql import functions as F
+
+    dice = random.Random(4)
+    total = 10**14
+    rows = [(b - 1, 2) for b in (41666666666666 // 2 * 2, *(dice.randrange(1, total) for _ in range(200)))] + [(total * s // 24 - 1, 2) for s in range(1, 24)] + [(total - 8, 8), (0, 8)]
+    frame = spark.createDataFrame([(*r, total) for r in rows], "before long, size long, total long")
+    got = [(r["before"], r["size"], r["s"]) for r in frame.withColumn("s", sharding.shard_of(F.col("before"), F.col("size"), F.col("total"), 24)).collect()]
+    assert got == [(b, n, min(23, (2 * b + n) * 24 // (2 * total))) for b, n in rows]

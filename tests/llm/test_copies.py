@@ -227,14 +227,45 @@ def beside(random, x, cosine):
     return cosine * x + math.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
 
 
+def found(codes, x, y):
+    """Which pairs meet in a table and are within the radius."""
+    x, y = codes.bits(x), codes.bits(y)
+    return (codes.keys(x) == codes.keys(y)).any(axis=1) & ((x != y).sum(axis=1) <= codes.radius)
+
+
+def test_codes_within_the_tables_number_always_meet():
+    random = np.random.default_rng(6)
+    codes = embeddings.coded(directed(random, 3000), 100_000, 0.9)
+    bits = random.random((500, codes.n_tables * codes.length)) < 0.5
+    other = bits.copy()
+    for row in other:
+        at = random.choice(len(row), codes.n_tables - 1, replace=False)
+        row[at] = ~row[at]
+    assert (codes.keys(bits) == codes.keys(other)).any(axis=1).all()
+
+
+@pytest.mark.parametrize("dimensions, mean", [(16, 0.0), (16, 0.4), (384, 0.0), (384, 0.5), (768, 0.5)])
+def test_vectors_recall_by_dimensions(dimensions, mean):
+    random = np.random.default_rng(7)
+
+    def some(n):
+        x = random.standard_normal((n, dimensions)) * np.sqrt((1 - mean) / dimensions) * np.linspace(1.5, 0.5, dimensions)
+        x[:, 0] += math.sqrt(mean)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    codes = embeddings.coded(some(4000), 200_000, 0.9)
+    x = some(3000)
+    assert all(found(codes, x, beside(random, x, cosine)).mean() >= 0.9 for cosine in (0.9, 0.92))
+
+
 @pytest.mark.parametrize("n_rows", [50_000, 3_000_000])
 def test_vectors_recall_with_a_common_direction(n_rows):
     random = np.random.default_rng(3)
     codes = embeddings.coded(directed(random, 10_000), n_rows, 0.9)
     x = directed(random, 4000)
     for cosine in (0.9, 0.905, 0.915, 0.93):
-        assert (codes.keys(x) == codes.keys(beside(random, x, cosine))).any(axis=1).mean() >= 0.9
-    spread = codes.keys(directed(random, 20_000))
+        assert found(codes, x, beside(random, x, cosine)).mean() >= 0.9
+    spread = codes.keys(codes.bits(directed(random, 20_000)))
     assert max(np.unique(spread[:, t], return_counts=True)[1].max() for t in range(spread.shape[1])) < 1000  # no bucket with much of all
 
 
@@ -251,8 +282,9 @@ def test_vectors_linked_with_a_common_direction(spark):
 def test_vectors_of_one_dimension_or_a_low_threshold():
     random = np.random.default_rng(5)
     line = np.where(random.random((500, 1)) < 0.5, 1.0, -1.0)
-    keys = embeddings.coded(line, 500, 0.9).keys(line)
+    codes = embeddings.coded(line, 500, 0.9)
+    keys = codes.keys(codes.bits(line))
     assert (keys[line[:, 0] == line[0, 0]] == keys[0]).any(axis=1).all()
     x = directed(random, 2000)
     codes = embeddings.coded(x, 3_000_000, -0.5)
-    assert (codes.keys(x) == codes.keys(beside(random, x, -0.5))).any(axis=1).mean() >= 0.9
+    assert found(codes, x, beside(random, x, -0.5)).mean() >= 0.9

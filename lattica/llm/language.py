@@ -24,6 +24,8 @@ FAMILIES = {
 }
 #: Rows of each language that are learned from, about: they are chosen by a hash of the id, with a share that gives that many.
 ROWS_PER_LANGUAGE = 300
+#: Languages that are learned, those with most rows: it bounds the machines (780 at most, of 64 KB each), however many values lang has.
+LANGUAGES = 40
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4)
 #: Scale of the mean weights, so that margins of about 1 can be reached.
@@ -97,12 +99,13 @@ def family_of(language: str) -> str:
     return next((f for f, members in FAMILIES.items() if language in members), language)
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Learns from rows with a language, ROWS_PER_LANGUAGE of each or so: a pass over key and language counts them, a second one picks
     by a hash of the key and makes sparse counts of grams, and each machine is trained in a task of its own on its languages' rows.
+    Only the `languages` with most rows (by name between equals) are learned: a label that few rows have is more likely a slip.
     Rows with null text or language or without letters teach nothing. Without rows the model knows no language."""
     docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    counts = {r["l"]: r["n"] for r in docs.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in docs.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "l").limit(languages).collect()}
     if not counts:
         return Model()
     families: dict[str, list[str]] = {}
@@ -135,10 +138,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         at, v = (group.column(x).combine_chunks() for x in ("at", "v"))
         cuts, at, v = at.offsets.to_numpy(), at.values.to_numpy(), v.values.to_numpy()
         examples = [(at[a:b], v[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table({"machine": group.column("machine").slice(0, 1), "w": pa.array([svm(examples, signs)], pa.list_(pa.float64()))})
+        return pa.table({"machine": group.column("machine").slice(0, 1), "w": pa.array([svm(examples, signs)], pa.list_(pa.float32()))})
 
-    trained = by_group(rows.join(F.broadcast(machine), "l").select("machine", "sign", "at", "v"), ["machine"], train, "machine int, w array<double>")
-    return Model(families, {pairs[r["machine"]][:2]: np.array(r["w"]) for r in trained.collect()})
+    trained = by_group(rows.join(F.broadcast(machine), "l").select("machine", "sign", "at", "v"), ["machine"], train, "machine int, w array<float>")
+    return Model(families, {pairs[r["machine"]][:2]: np.array(r["w"], np.float32) for r in trained.collect()})
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

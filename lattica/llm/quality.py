@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import mapped, ranked, save, small
+from ._common import mapped, ranked, save
 
 BUCKETS = 1 << 14
 #: Labelled documents that the target model and the threshold learn from, about; a hash of the id chooses them. They are broadcast.
 LABELLED = 8000
-#: What mean log ratios are multiplied by before Gumbel noise (of spread 1.3) is added: tokens that a document is taken to have.
-TOKENS = 100.0
-#: Tokens without evidence that every document is taken to have besides its own, so that a few odd ones can't condemn a short text.
+#: Tokens without evidence that a document's mean takes in besides its own, so that a few odd ones can't condemn a short text.
 PRIOR = 20
 
 
@@ -44,10 +42,12 @@ def token_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 @dataclass(frozen=True)
 class Model:
-    """ratio: for each bucket the log of its target over its raw probability. threshold: the least mean ratio of a good document."""
+    """ratio: for each bucket the log of its target over its raw probability. threshold: the least mean ratio of a good document.
+    share: of the labelled documents, the good ones."""
 
     ratio: np.ndarray
     threshold: float
+    share: float
 
 
 def _hash01(column: Column, salt: str) -> Column:
@@ -63,15 +63,13 @@ def _sample(labels: DataFrame, key: str, label: str, n: int) -> DataFrame:
     return save(known.withColumn("half", (_hash01(F.col("k"), "half") < 0.5).cast("int")), "labelled")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED, row: str | None = None) -> tuple[Model, DataFrame]:
-    """The model, and for every document k, n_tokens, mean (of log ratios over
-    tokens and pairs, and PRIOR more of ratio 0), and the column row (a long) if one is named.
-
-    Raw counts are over all documents; target counts over good ones of half of the sampled labels. The other half sets the threshold:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED) -> Model:
+    """Raw counts are over all documents; target counts over good ones of half of the sampled labels. The other half sets the threshold:
     the middle of the gap that best separates good from bad ones (most true accepts minus false accepts, the lowest such). Without
-    labels of both kinds nothing is below the threshold; without good ones all ratios are 0. Null texts have no tokens and mean 0."""
-    sample = F.broadcast(_sample(labels, key, label, labelled))  # bounded by `labelled`
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *([F.col(row).cast("long")] if row else []))
+    labels of both kinds nothing is below the threshold; without good ones all ratios are 0, without any the share is 1. Null texts have
+    no tokens and mean 0."""
+    sample = _sample(labels, key, label, labelled)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -84,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
 
-    marked = rows.join(sample.where("half = 0"), "k", "left").select("t", "good")
+    marked = rows.join(F.broadcast(sample.where("half = 0")), "k", "left").select("t", "good")  # bounded by `labelled`
     counts = mapped(marked, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(BUCKETS, 1.0), np.full(BUCKETS, 1.0)
     for r in counts.collect():  # BUCKETS rows at most
@@ -92,19 +90,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         target[r["bucket"]] += r["target"]
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > BUCKETS else np.zeros(BUCKETS)
 
+    others = weighed(rows.join(F.broadcast(sample.where("half = 1")), "k").select("k", "t", "good"), ratio, "t")
+    judged = others.groupBy("k").agg(F.avg("mean").alias("mean"), F.first("good").alias("good")).collect()  # one row for each of `labelled` ids
+    shares = sample.agg(F.avg(F.col("good").cast("int"))).first()[0]
+    return Model(ratio, _threshold(np.array([r["mean"] for r in judged]), np.array([r["good"] for r in judged], bool)), 1.0 if shares is None else shares)
+
+
+def weighed(docs: DataFrame, ratio: np.ndarray, text: str = "text") -> DataFrame:
+    """docs with n_tokens, log_weight (the log of the ratio of the two models' probabilities of the document: the sum of the ratios of
+    its tokens and pairs) and mean (that sum by n_tokens and PRIOR more), which replace columns of these names."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for first, end, data, offsets in _words.chunks(batch.column(1)):
+            for first, end, data, offsets in _words.chunks(batch.column(batch.schema.get_field_index("__text"))):
                 buckets, at = token_buckets(data, offsets)
                 n[first:end] = np.bincount(at, minlength=end - first)
                 total[first:end] = np.bincount(at, weights=ratio[buckets], minlength=end - first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(n), pa.array(total / (n + PRIOR))], ["k", *([row] if row else []), "n_tokens", "mean"])
+            keep = [i for i, f in enumerate(batch.schema) if f.name != "__text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(n), pa.array(total), pa.array(total / (n + PRIOR))], [*(batch.schema.field(i).name for i in keep), "n_tokens", "log_weight", "mean"])
 
-    kind = rows.schema["k"].dataType.simpleString()
-    scored = save(mapped(rows, score, f"k {kind}, {f'`{row}` long, ' if row else ''}n_tokens long, mean double"), "scores")
-    judged = scored.join(sample.where("half = 1"), "k").select("mean", "good").collect()  # bounded by `labelled`, but for repeated rows
-    return Model(ratio, _threshold(np.array([r["mean"] for r in judged]), np.array([r["good"] for r in judged], bool))), scored
+    kept = docs.drop("n_tokens", "log_weight", "mean", "__text")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
+    return mapped(kept.withColumn("__text", docs[text]), score, fields + "n_tokens long, log_weight double, mean double")
 
 
 def _threshold(means: np.ndarray, good: np.ndarray) -> float:
@@ -122,28 +130,30 @@ def _threshold(means: np.ndarray, good: np.ndarray) -> float:
     return float((means[cut - 1] + means[cut]) / 2) if cut < len(means) else float(means[-1])
 
 
-def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", share: float | None = None, row: str | None = None) -> DataFrame:
-    """key, n_tokens, log_weight, perturbed, rank and selected for every document, and the column row if one is named.
+def select(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", share: float | None = None) -> DataFrame:
+    """key, n_tokens, log_weight, mean, perturbed, rank, selected and accepted for every document.
 
-    log_weight is TOKENS times the mean log ratio of target over raw probability. Gumbel noise that a hash of the key fixes is added,
-    and the k documents with the largest sums are selected: a sample without replacement in proportion to the weights. k is share of
-    all documents or, where share is None, the number of those whose mean reaches the learned threshold. Ranks count from 0, by the
-    sum, then key. The rank is global without a task that holds all rows. Documents with null keys share one noise. Repeated rows are
-    ranked each; an empty table gives no rows; other columns are ignored."""
-    model, scored = fit(docs, labels, key, text, label, row=row)
-    more = [row] if row else []
+    Gumbel noise that a hash of the key fixes is added to log_weight, and the k documents with the largest sums are selected: a sample
+    without replacement in proportion to the importance weights. k is share of all documents; where share is None, it is the share that
+    good ones have among the labelled. Ranks count from 0, by the sum, then key; the rank is global without a task that holds all rows.
+    accepted is the classifier's decision: whether the mean reaches the learned threshold. Documents with null keys share one noise.
+    Repeated rows are ranked each; an empty table gives no rows; other columns are ignored."""
+    model = fit(docs, labels, key, text, label)
+    rows = weighed(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), model.ratio, "t").drop("t")
     noise = -F.log(-F.log(_hash01(F.col("k"), "gumbel")))
-    weighed = scored.select("k", *more, "n_tokens", (F.col("mean") * TOKENS).alias("log_weight"), (F.col("mean") * TOKENS + noise).alias("perturbed"))
-    k = round(share * scored.count()) if share is not None else scored.where(F.col("mean") >= F.lit(float(model.threshold))).count()
-    out = ranked(weighed, [F.col("perturbed").desc(), F.col("k"), F.col("n_tokens"), *map(F.col, more)], "rank")
-    return out.select(F.col("k").alias(key), *more, "n_tokens", "log_weight", "perturbed", "rank", (F.col("rank") < k).alias("selected"))
+    rows = save(rows.withColumn("perturbed", F.col("log_weight") + noise).withColumn("accepted", F.col("mean") >= F.lit(float(model.threshold))), "scores")
+    k = round((model.share if share is None else share) * rows.count())
+    out = ranked(rows, [F.col("perturbed").desc(), F.col("k"), F.col("n_tokens")], "rank")
+    return out.select(F.col("k").alias(key), "n_tokens", "log_weight", "mean", "perturbed", "rank", (F.col("rank") < k).alias("selected"), "accepted")
 
 
 def accept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that select() leaves out, with the same columns. Rows are judged each, by a saved number."""
-    rows = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    out = save(select(rows, labels, key, text, row="__row").where("not selected").select("__row"), "rejected")
-    return rows.join(small(out), "__row", "left_anti").drop("__row")
+    """docs without the rows that the classifier refuses, with the same columns: their mean log ratio is below the learned threshold.
+
+    Rows are judged each, where they are; nothing is shuffled or ranked, as no number of documents is asked for."""
+    model = fit(docs, labels, key, text)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("body"))
+    return weighed(whole, model.ratio, "body").where(F.col("mean") >= F.lit(float(model.threshold))).select("doc.*")
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Language identification, quality, tool calls and the pipeline."""
 
 import json
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -34,6 +37,50 @@ def test_language_edges(spark, docs):
     assert language.accept(frame).columns == frame.columns
 
 
+def test_languages_with_most_rows_are_learned(spark, docs):
+    frame = docs([(i, f"word{i} und so weiter") for i in range(60)]).withColumn("lang", F.when(F.col("doc_id") < 20, "de").when(F.col("doc_id") < 40, "nl").otherwise(F.concat(F.lit("x"), "doc_id")))
+    assert language.fit(frame, languages=3).languages == ["de", "nl", "x40"]
+
+
+def test_predictions_against_plain_votes(spark, docs):
+    """Every gram of every text by hand, each machine's margin, votes of families, then of languages within the winner."""
+    pick = random.Random(12)
+    vocabulary = {x: [f"{x}{pick.randrange(60)}{e}" for e in ("en", "a", "os", "lich") for _ in range(4)] for x in ("en", "de", "fr", "es", "zz")}
+    say = lambda x, n: " ".join(pick.choice(vocabulary[x]) for _ in range(n))
+    rows = [(i, say(["en", "de", "fr", "es", "zz"][i % 5], pick.randint(1, 12))) for i in range(200)]
+    frame = docs([*ODD, *rows]).withColumn("lang", F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es", "zz"))), (F.col("doc_id") % 5 + 1).cast("int")))
+    model = language.fit(frame.where("doc_id >= 10 and doc_id < 150"))
+    assert set(model.families) == {"germanic", "romance", "zz"} and len(model.machines) == 5
+
+    def buckets(text):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        letters = [b if 97 <= b <= 122 or b >= 128 else 32 for b in low]
+        for n in language.GRAMS:
+            for i in range(len(letters)):
+                gram = [*letters[i : i + n], 32, 32, 32][:n]
+                whole = sum(b << (8 * j) for j, b in enumerate(gram))
+                yield ((((whole * 2654435761 + n) % 2**32) * 2246822519) % 2**32) >> 18
+
+    def best(options, text):
+        margin = {}
+        for a, b in model.machines:
+            if a in options and b in options:
+                w = model.machines[a, b]
+                margin[a, b] = language.SCALE * sum(float(w[g]) for g in buckets(text)) / max(1, len(text.encode())) + float(w[-1])
+        of = lambda a, b: margin[a, b] if (a, b) in margin else -margin[b, a]
+        votes = {a: (sum(of(a, b) > 0 for b in options if b != a), sum(of(a, b) for b in options if b != a)) for a in options}
+        top = max(sorted(options), key=lambda a: votes[a])
+        return top, 1 / (1 + math.exp(-2 * min([50, *(of(top, b) for b in options if b != top)])))
+
+    for r in language.predict(frame, model).collect():
+        if not r["text"] or not any(map(str.isalpha, r["text"])):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif len(r["text"]) < 1000:
+            family, sure = best(sorted(model.families), r["text"])
+            lang, within = best(sorted(model.families[family]), r["text"])
+            assert r["lang_pred"] == lang and abs(r["score"] - sure * within) < 1e-3
+
+
 def test_grams_do_not_cross_texts():
     data = np.frombuffer(b"abcab", np.uint8)
     together = list(language.gram_buckets(data, np.array([0, 3, 5])))
@@ -68,7 +115,45 @@ def test_quality(spark, docs):
     half = quality.select(docs(rows), labels, share=0.5).where("selected").count()
     assert half == round(0.5 * len(rows))
     kept = quality.accept(docs(rows), labels)
-    assert kept.columns == docs(rows).columns and {r["doc_id"] for r in kept.collect()} == {i for i, s in told.items() if s} | {None}
+    accepted = {r["doc_id"] for r in got if r["accepted"]}
+    assert kept.columns == docs(rows).columns and {r["doc_id"] for r in kept.collect()} == accepted
+    assert accepted >= {i for i, _ in quality_rows() if i % 6} and not accepted & {i for i, _ in quality_rows() if i % 6 == 0}
+
+
+def test_quality_against_a_plain_sample(spark, docs):
+    """Weights, noise, ranks and decisions by loops."""
+    rows = [*ODD, *quality_rows()]
+    labels = spark.createDataFrame([(i, int(i % 6 != 0)) for i, _ in quality_rows()], "doc_id long, quality int")
+    model = quality.fit(docs(rows), labels)
+    got = quality.select(docs(rows), labels, share=0.3).collect()
+
+    def noise(i):
+        seed = 42 if i is None else xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+        h = xxhash.xxh64(b"gumbel", seed=seed).intdigest()
+        h -= (h >> 63) << 64
+        return -math.log(-math.log((h % (1 << 40) + 0.5) / (1 << 40)))
+
+    want = []
+    for i, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        weight = sum(model.ratio[b] for b in quality.token_buckets(data, np.array([0, len(data)]))[0])
+        n = len(quality.token_buckets(data, np.array([0, len(data)]))[0])
+        want.append((weight + noise(i), i, n, weight, weight / (n + quality.PRIOR) >= model.threshold))
+    want.sort(key=lambda w: (-w[0], w[1] is not None, w[1] or 0))
+    got.sort(key=lambda r: r["rank"])
+    assert [(r["doc_id"], r["n_tokens"], r["accepted"]) for r in got] == [(i, n, a) for _, i, n, _, a in want]
+    assert np.allclose([(r["perturbed"], r["log_weight"]) for r in got], [(w[0], w[3]) for w in want])
+    assert [r["selected"] for r in got] == [n < round(0.3 * len(rows)) for n in range(len(rows))]
+
+
+def test_more_of_the_weighty_are_sampled(spark, docs):
+    """Two kinds of documents whose weights are apart by some units: the Gumbel sample takes the lighter ones about as often as it should."""
+    weights = np.repeat([1.0, 0.0], 2000)
+    noise = -np.log(-np.log(np.random.default_rng(0).random(4000)))
+    frame = spark.createDataFrame([(i,) for i in range(4000)], "k long")
+    spark_noise = np.array([r[0] for r in frame.select(-F.log(-F.log(quality._hash01(F.col("k"), "gumbel")))).collect()])
+    taken = [np.argsort(-(weights + x))[:500] for x in (noise, spark_noise)]
+    assert abs((taken[0] < 2000).mean() - (taken[1] < 2000).mean()) < 0.08
 
 
 def test_quality_by_row(spark, docs):
@@ -93,7 +178,7 @@ def test_counts_are_over_all_documents(spark, docs):
     """The ratio of models that a plain count gives."""
     rows = quality_rows(60)
     labels = spark.createDataFrame([(i, int(i % 6 != 0)) for i, _ in rows], "doc_id long, quality int")
-    model, _ = quality.fit(docs(rows), labels)
+    model = quality.fit(docs(rows), labels)
     sample = {r["k"] for r in quality._sample(labels, "doc_id", "quality", quality.LABELLED).where("half = 0 and good").collect()}
     raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
     for i, text in rows:

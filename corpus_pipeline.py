@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import contamination, language, near_dedup, packing, quality
-from lattica.llm._common import save
+from lattica.llm._common import save, temporary
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects; the labels table teaches what is good."""
+    """Documents that the classifier of importance resampling accepts; the labels table teaches what is good."""
     return quality.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -24,8 +24,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less than a twentieth of whose words are windows of benchmark items."""
-    return contamination.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents less than a twentieth of whose words are windows of benchmark items; what they hold of windows of 13 words is cut out."""
+    return contamination.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), max_words=12)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what goes from one to the next is a table in the shared folder."""
+    """All stages over documents; what goes from one to the next is a table in the shared folder. What a stage but the last saves for
+    itself goes at its end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        with temporary(spark):
+            docs = save(stage(spark, docs, sf_dir), name, lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

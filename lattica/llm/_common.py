@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import partitions, ranked, save, small
+from ..sources.scratch import partitions, ranked, save, small, temporary
 
-__all__ = ["by_group", "by_groups", "components", "crc_of_id", "mapped", "partitions", "ranked", "save", "small"]
+__all__ = ["by_group", "by_groups", "components", "crc_of_id", "mapped", "partitions", "ranked", "save", "small", "temporary"]
 
 
 #: Rows and bytes that go to Python together. With Spark's own numbers, 10,000 rows of any size, batches of whole texts take hundreds of MB.

@@ -142,10 +142,11 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k"
     """pieces() with sequence_id and offset: best-fit decreasing over all pieces of all documents.
 
     Only the number of pieces of each length goes to the driver (capacity rows at most), and only a plan in ranges of ranks comes back,
-    whose size depends on capacity alone. Ranks among equal lengths come from salted counts, so no length gathers in one task.
+    whose size depends on capacity alone. Ranks among equal lengths come from salted counts, so neither a length nor equal rows gather
+    in one task.
     An empty table gives no rows; repeated rows are packed each; other columns are ignored."""
     spark = docs.sparkSession
-    salted = F.pmod(F.xxhash64("k", "piece", "ids_crc32"), F.lit(partitions(spark))).cast("int")
+    salted = F.pmod(F.monotonically_increasing_id(), F.lit(partitions(spark))).cast("int")  # equal rows are spread, too
     rows = save(pieces(docs, capacity, vocabulary, key, text).withColumn("salt", salted), "pieces")
     counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,8 +23,9 @@ def shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "tex
     fewer rows than shards leave shards empty. Other columns are ignored, whatever their names."""
     spark = docs.sparkSession
     content = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    order = ["k", "text_crc32", "size"]
-    rows = save(docs.select(F.col(key).alias("k"), (F.octet_length(content) + ROW_BYTES).cast("long").alias("size"), F.crc32(content).alias("text_crc32")), "sizes")
+    order = ["k", "text_crc32", "size", "tie"]  # a number tells rows apart that are equal in the rest, so they do not gather in one range
+    rows = docs.select(F.col(key).alias("k"), (F.octet_length(content) + ROW_BYTES).cast("long").alias("size"), F.crc32(content).alias("text_crc32"))
+    rows = save(rows.withColumn("tie", F.monotonically_increasing_id()), "sizes")
     dealt = save(rows.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()), "ranges")
 
     # One row for each partition, so the one task that sums them has a bounded load.

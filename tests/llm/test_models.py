@@ -381,6 +381,7 @@ def test_pipeline(spark, data):
     last = seen[-1]
     assert near_dedup.classes(last).where("not kept").count() == 0
     assert contamination.find(last, spark.read.parquet(f"{data}/benchmark.parquet")).where(contamination.contaminated()).count() == 0
+    assert contamination.find(last, spark.read.parquet(f"{data}/benchmark.parquet")).where("exists(spans, s -> s.end - s.start > 12)").count() == 0
     bad = seen[1].join(spark.read.parquet(f"{data}/labels.parquet").where("quality = 1"), "doc_id", "left_semi").join(seen[2], "doc_id", "left_anti").count()
     assert bad <= 1  # good documents stay
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, data).collect()} == {r["doc_id"] for r in last.collect()}

@@ -162,11 +162,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
 
     Copies, by a 128-bit digest of their words, are reduced to one text before anything else. A bucket (texts with one band key) is
     never expanded: its texts link to its least one in a graph of candidates, whose components are the groups to verify. In a group of
-    one block every pair of texts not yet joined is compared exactly, in a task. A larger group is split first, see prefixes(): texts
-    that only share boilerplate fall apart, as no pair of them can be similar enough. What is still larger than a block is cut into
-    blocks and dealt anew into other ones, which join the classes of the first; then the texts still outside its largest class meet
-    all its texts, in parts of PART_SHINGLES. So a text is shuffled with its shingles once or twice, and once more for each such part
-    of a group that no filter could split; no pair of one group is missed."""
+    one block every pair of texts not yet joined is compared exactly, in a task. A larger group is cut into blocks, and dealt anew into
+    other ones, which join the classes of the first; then the texts still outside its largest class meet all its texts, in parts of
+    PART_SHINGLES. If there are too many of those for one part, the group is split first, see prefixes(): texts that only share
+    boilerplate fall apart, as no pair of them can be similar enough. So a text is shuffled with its shingles twice, and once more for
+    each part of a group that no filter could split; no pair of one group is missed."""
     source = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
     signed = save(_signed(source, k, bands, rows), "signed")
     worded = signed.where("keys is not null and d is not null")
@@ -198,6 +198,15 @@ def _blocks(sets: DataFrame) -> DataFrame:
     return save(weights.select("g", blocks.alias("blocks")), "blocks")
 
 
+def _outside(sets: DataFrame) -> DataFrame:
+    """For each group with texts outside its largest component (main): in how many parts those go, and all of them; a saved table."""
+    sizes = save(sets.groupBy("g", "component").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "sizes")
+    order = F.struct("n", "component")
+    main = sizes.groupBy("g").agg(F.max_by("component", order).alias("main"), F.max_by("total", order).alias("inside"), F.sum("total").alias("total"))
+    parts = lambda total: F.ceil(total / PART_SHINGLES).cast("int")
+    return save(main.where("total > inside").select("g", "main", parts(F.col("total") - F.col("inside")).alias("lefts"), parts(F.col("total")).alias("rights")), "main")
+
+
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """(c, key): two texts of a group g whose similarity is at least `similarity` have a key in common, surely; few others do.
 
@@ -274,14 +283,6 @@ def verified(source: DataFrame, groups: DataFrame, k: int, similarity: float) ->
     sets = mapped(wanted, run, "c long, g long, size long, shingles array<long>")
     sets = save(sets, "shingles")
     blocks = _blocks(sets)
-    large = small(blocks.where("blocks > 1").select("g"))
-    if large.limit(1).count():
-        split = _groups(save(prefixes(sets.join(large, "g"), similarity), "prefixes"))
-        sizes = sets.select("c", "g", "size")
-        placed = sizes.join(large, "g", "left_anti").unionByName(sizes.drop("g").join(small(split), "c"))
-        placed = save(placed.select("c", "g", "size"), "placed")
-        blocks = _blocks(placed)
-        sets = sets.drop("g").join(small(placed.drop("size")), "c")
     sets = sets.join(small(blocks), "g")
 
     def linked(group: pa.Table) -> pa.Table | None:
@@ -304,16 +305,18 @@ def verified(source: DataFrame, groups: DataFrame, k: int, similarity: float) ->
     large = sets.where("blocks > 1")
     if not large.limit(1).count():
         return found
-    classed = lambda: large.join(small(found).withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    edges = edges.unionByName(save(dealt(classed(), 1), "links"))
+    classed = lambda rows: rows.join(small(found).withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    edges = edges.unionByName(save(dealt(classed(large), 1), "links"))
     found = components(edges)
 
     # Texts outside a large group's largest class, in parts, meet all of the group's texts, in parts too.
-    sizes = save(classed().groupBy("g", "component").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "sizes")
-    main = sizes.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max_by("total", F.struct("n", "component")).alias("inside"), F.sum("total").alias("total"))
-    parts = lambda total: F.ceil(total / PART_SHINGLES).cast("int")
-    main = save(main.where("total > inside").select("g", "main", parts(F.col("total") - F.col("inside")).alias("lefts"), parts(F.col("total")).alias("rights")), "main")
-    rest = classed().join(small(main), "g").withColumn("outside", F.col("component") != F.col("main"))
+    main = _outside(classed(large))
+    wide = save(main.where("lefts > 1").select("g"), "wide")
+    if wide.limit(1).count():  # too many to meet all others: split such groups first
+        split = _groups(save(prefixes(large.join(small(wide), "g"), similarity), "prefixes"))
+        large = large.join(small(wide), "g", "left_anti").unionByName(large.join(small(wide), "g").drop("g").join(small(split), "c"))
+        main = _outside(classed(large))
+    rest = classed(large).join(small(main), "g").withColumn("outside", F.col("component") != F.col("main"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     one = lambda n, salt: F.pmod(F.xxhash64("c", F.lit(salt)), F.col(n)).cast("int")
     sent = rest.where("outside").withColumn("part", one("lefts", 2)).withColumn("block", F.explode(every("rights"))).select("g", "block", "part", "c", "component", "outside", "shingles")

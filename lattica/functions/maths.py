@@ -164,8 +164,17 @@ def exp2(x: Column) -> Column:
     return F.pow(F.lit(2.0), x)
 
 
-def multiple_of(x: Column, n: int) -> Column:
-    return x % n == 0
+def multiple_of(x: Column, n: float) -> Column:
+    """Exact for whole n; for others the quotient may be off a whole number by 1e-9."""
+    if n == int(n):
+        return x % int(n) == 0
+    quotient = double(x) / F.lit(float(n))
+    return F.abs(quotient - F.rint(quotient)) < 1e-9
+
+
+def finite(x: Column) -> Column:
+    """x, or null where it is infinite or no number."""
+    return F.when(~F.isnan(double(x)) & (F.abs(double(x)) < F.lit(float("inf"))), x)
 
 
 def divide(x: Column, y: Column) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-IPV4 = f"^{OCTET}(?:\\.{OCTET}){{3}}$"
+IPV4 = f"^{OCTET}(?:\\.{OCTET}){{3}}\\z"
 LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-FQDN = f"^{LABEL}(?:\\.{LABEL})+\\.?$"
+FQDN = f"^{LABEL}(?:\\.{LABEL})+\\.?\\z"
 
 
 def is_ipv4(s: Column) -> Column:
@@ -46,7 +46,7 @@ def parse_ip(s: Column) -> Column:
 
 def split_host_port(s: Column) -> Column:
     """[host, port]; null without a port, or if a host with colons has no brackets."""
-    bracketed, plain = r"^\[([^\]]*)\]:([^:]*)$", r"^([^:]*):([^:]*)$"
+    bracketed, plain = r"^\[([^\]]*)\]:([^:]*)\z", r"^([^:]*):([^:]*)\z"
     return F.when(s.rlike(bracketed), F.array(F.regexp_extract(s, bracketed, 1), F.regexp_extract(s, bracketed, 2))).when(
         s.rlike(plain), F.array(F.regexp_extract(s, plain, 1), F.regexp_extract(s, plain, 2))
     )

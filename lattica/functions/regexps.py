@@ -24,7 +24,24 @@ def compiled(pattern: str) -> str:
     """The pattern as Spark takes it; ValueError if it is none or needs backtracking."""
     if not is_valid_pattern(pattern):
         raise ValueError(f"not a supported pattern: {pattern}")
-    return "(?U)" + pattern.replace("(?P<", "(?<")
+    return "(?Ud)" + to_end(pattern.replace("(?P<", "(?<"))
+
+
+def to_end(pattern: str) -> str:
+    """$ outside classes means the end of the text, not the place before a last line end as well; with (?d) only \\n ends a line for a dot."""
+    if re.search(r"\(\?[a-zA-Z]*m", pattern):
+        return pattern  # of lines, as asked for
+    out, at, within = [], 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        within = c == "[" or (within and c != "]")
+        out.append("\\z" if c == "$" and not within else c)
+        at += 1
+    return "".join(out)
 
 
 def valid(s: Column) -> Column:

@@ -32,6 +32,25 @@ def multiply(x: Column, y: Column) -> Column:
     return F.try_multiply(x, y)
 
 
+def positive(x: Column, kind: T.DataType) -> Column:
+    """+x; TypeError unless the column is of numbers."""
+    if not isinstance(kind, T.NumericType):
+        raise TypeError(f"+ needs a number, not {kind.simpleString()}")
+    return x
+
+
+def negative(x: Column, kind: T.DataType) -> Column:
+    """-x; null where that is beyond the column's type. TypeError unless the column is of numbers."""
+    return F.try_subtract(F.lit(0).cast(kind), positive(x, kind))
+
+
+def inverse(x: Column, kind: T.DataType) -> Column:
+    """!x; TypeError unless the column is of truth values."""
+    if not isinstance(kind, T.BooleanType):
+        raise TypeError(f"! needs a truth value, not {kind.simpleString()}")
+    return ~x
+
+
 def equal(a: Column, b: Column, left: T.DataType, right: T.DataType) -> Column:
     """Equality by content: numbers of different types by value, arrays in order, structs by the names of their set fields in any
     order; values of different kinds differ. Two absent values are equal."""

@@ -22,6 +22,16 @@ def average(c: Column) -> Column:
     return F.coalesce(F.avg(c), F.lit(0.0))
 
 
+def distinct_about(c: Column, error: float = 0.02) -> Column:
+    """About how many distinct values; the state of each task is a few KB, however many there are."""
+    return F.approx_count_distinct(c, error)
+
+
+def quantile_about(c: Column, share: float, accuracy: int = 10_000) -> Column:
+    """A value whose rank is within 1 / accuracy of the share."""
+    return F.approx_percentile(c, F.lit(share), F.lit(accuracy))
+
+
 def grouped(source: DataFrame, by: list[str], folds: Mapping[str, Column]) -> DataFrame:
     """A record of folds for each distinct key."""
     return source.groupBy(*by).agg(*(f.alias(name) for name, f in folds.items()))

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.regexps import compiled
+from ..functions.encodings import yaml_unmarshal
+from ..functions.regexps import compiled, to_end
 
 VIOLATION = "array<struct<path: string, code: string, message: string>>"
 #: Kinds that hold others, from wide to narrow.
@@ -47,6 +48,39 @@ class Nothing(Constraint):
     message: str = "conflict"
 
 
+@dataclass(frozen=True)
+class Fail(Nothing):
+    """As a branch: what is said where no other branch fits."""
+
+
+def error(message: str) -> Fail:
+    return Fail(message)
+
+
+@dataclass(frozen=True)
+class OrNull(Constraint):
+    """A value that fits, or null: as a required field it may be null, as an element too."""
+
+    inner: Constraint
+
+
+@dataclass(frozen=True)
+class MatchN(Constraint):
+    """The number of the parts that a value fits is within the bound."""
+
+    number: Bound
+    parts: tuple[Constraint, ...]
+
+
+@dataclass(frozen=True)
+class MatchIf(Constraint):
+    """A value that fits `condition` fits `then`, any other `otherwise`."""
+
+    condition: Constraint
+    then: Constraint
+    otherwise: Constraint
+
+
 @dataclass(frozen=True)
 class Kind(Constraint):
     """bool, string, bytes, time, number, int, float, uint, or int and uint with a width."""
@@ -115,13 +149,15 @@ class Field:
 
 @dataclass(frozen=True)
 class Record(Constraint):
-    """A struct, a row or a map. patterns hold for all fields whose name matches; a closed record has no fields but these."""
+    """A struct, a row or a map. patterns hold for all fields whose name matches, rest for those that are neither among fields nor match;
+    a closed record has no such."""
 
     fields: tuple[tuple[str, Field], ...] = ()
     closed: bool = False
     patterns: tuple[tuple[str, Constraint], ...] = ()
     least: int = 0
     most: int | None = None
+    rest: Constraint = Anything()
 
 
 def record(fields: dict[str, Constraint | Field], closed: bool = True, patterns: dict[str, Constraint] | None = None) -> Record:
@@ -130,6 +166,10 @@ def record(fields: dict[str, Constraint | Field], closed: bool = True, patterns:
     return Record(tuple(made.items()), closed, tuple((patterns or {}).items()))
 
 
+def every(*parts: Constraint) -> Constraint:
+    return reduce(meet, parts, Anything())
+
+
 def enum(*values: Any, default: int | None = None) -> OneOf:
     return OneOf(tuple(map(Value, values)), default)
 
@@ -150,6 +190,9 @@ def meet(a: Constraint, b: Constraint) -> Constraint:
             return y
     if a == b:
         return a
+    if isinstance(a, OrNull) or isinstance(b, OrNull):
+        inner = meet(*(x.inner if isinstance(x, OrNull) else x for x in (a, b)))
+        return OrNull(inner) if isinstance(a, OrNull) and isinstance(b, OrNull) else inner
     for x, y in ((a, b), (b, a)):
         if isinstance(x, OneOf) and not isinstance(y, OneOf):
             return _of_branches([meet(branch, y) for branch in x.branches], [x.default])
@@ -174,8 +217,10 @@ def _of_branches(branches: list[Constraint], marked: list[int | None]) -> Constr
             if c not in kept:
                 kept.append(c)
             place[i] = kept.index(c)
+    fails = [c for c in branches if isinstance(c, Fail)]
     if not kept:
-        return Nothing("no branch is left")
+        return fails[0] if fails else Nothing("no branch is left")
+    kept += fails[:1]
     defaults = {place[m] for m in marked if m in place}
     return kept[0] if len(kept) == 1 else OneOf(tuple(kept), defaults.pop() if len(defaults) == 1 else None)
 
@@ -188,6 +233,10 @@ def _records(a: Record, b: Record) -> Constraint:
         else:
             both = meet(fields[name].constraint, f.constraint)
             fields[name] = Field(both, fields[name].optional and f.optional)
+    for side in (a, b):  # a side's rest holds for the fields that only the other one names
+        for name, f in fields.items():
+            if name not in dict(side.fields) and not any(_occurs(p, name) for p, _ in side.patterns):
+                fields[name] = Field(meet(f.constraint, side.rest), f.optional)
     for side in (a, b):
         own = dict(side.fields)
         for name, f in fields.items():
@@ -200,13 +249,14 @@ def _records(a: Record, b: Record) -> Constraint:
     most = min((m for m in (a.most, b.most) if m is not None), default=None)
     if closed:  # an optional field that a closed side does not know can't be set
         fields = {n: Field(Nothing("field is not allowed"), True) if any(s.closed and n not in dict(s.fields) and not any(_occurs(p, n) for p, _ in s.patterns) for s in (a, b)) else f for n, f in fields.items()}
-    return Record(tuple(fields.items()), closed, (*a.patterns, *(p for p in b.patterns if p not in a.patterns)), max(a.least, b.least), most)
+    return Record(tuple(fields.items()), closed, (*a.patterns, *(p for p in b.patterns if p not in a.patterns)), max(a.least, b.least), most, meet(a.rest, b.rest))
 
 
 def _occurs(pattern: str, name: str) -> bool:
+    """As match() on a column: $ is the end of the text."""
     import re
 
-    return re.search(pattern, name) is not None
+    return re.search(to_end(pattern).replace("\\z", "\\Z"), name) is not None
 
 
 def _items(a: Items, b: Items) -> Constraint:
@@ -336,6 +386,17 @@ class Found:
             return _none()
         return F.when(self.any(), F.concat(*parts) if len(parts) > 1 else parts[0]).otherwise(_none())
 
+    def counts(self, df: DataFrame) -> DataFrame:
+        """path, code, message and n over all rows: one aggregate of conditional counts; only violations of elements are exploded."""
+        sums = [F.count_if(t).alias(f"{kind}{i}") for i, (bad, *_) in enumerate(self.tests) for kind, t in (("bad", F.coalesce(bad, F.lit(False))), ("open", bad.isNull()))]
+        lines = lambda n, path, code, message: F.struct(path.alias("path"), F.lit(code).alias("code"), F.lit(message).alias("message"), F.col(n).alias("n"))
+        told = [x for i, (_, path, code, message) in enumerate(self.tests) for x in (lines(f"bad{i}", path, code, message), lines(f"open{i}", path, "incomplete", message))]
+        parts = [df.agg(*sums).select(F.inline(F.array(*told)))] if told else []
+        parts += [df.select(F.inline(a)).groupBy("path", "code", "message").agg(F.count("*").alias("n")) for a in self.arrays]
+        if not parts:
+            return df.sparkSession.createDataFrame([], "path string, code string, message string, n long")
+        return reduce(lambda a, b: a.unionByName(b), parts).groupBy("path", "code", "message").agg(F.sum("n").alias("n")).where("n > 0")
+
 
 def _none() -> Column:
     return F.array().cast(VIOLATION)
@@ -348,6 +409,14 @@ def check(c: Constraint, column: Column, kind: T.DataType, path: Column) -> Foun
         return out
     if isinstance(c, Nothing):
         return out.add(F.lit(True), path, c.message)
+    if isinstance(c, OrNull):
+        return check(c.inner, column, kind, path)
+    if isinstance(c, MatchN):
+        n = reduce(lambda a, b: a + b, [(~check(p, column, kind, path).any()).cast("int") for p in c.parts], F.lit(0))
+        return out.extend(check(c.number, n, T.IntegerType(), path))
+    if isinstance(c, MatchIf):
+        fits = ~check(c.condition, column, kind, path).any()
+        return out.extend(check(c.then, column, kind, path), fits).extend(check(c.otherwise, column, kind, path), ~fits)
     if isinstance(c, Kind):
         base = c.name if c.name in TYPES else "int"
         if not isinstance(kind, TYPES[base]):
@@ -375,11 +444,12 @@ def check(c: Constraint, column: Column, kind: T.DataType, path: Column) -> Foun
             out.extend(check(p, column, kind, path))
         return out
     if isinstance(c, OneOf):
-        values = [b.value for b in c.branches if isinstance(b, Value)]
-        if len(values) == len(c.branches):
-            return out.add(~column.isin(values), path, f"not one of {values}")
-        bad = reduce(lambda a, b: a & b, [check(b, column, kind, path).any() for b in c.branches])
-        return out.add(bad, path, f"fits none of {len(c.branches)} branches")
+        live, said = _branches(c)
+        values = [b.value for b in live if isinstance(b, Value)]
+        if len(values) == len(live):
+            return out.add(~column.isin(values), path, said or f"not one of {values}")
+        bad = reduce(lambda a, b: a & b, [check(b, column, kind, path).any() for b in live])
+        return out.add(bad, path, said or f"fits none of {len(live)} branches")
     if isinstance(c, Items):
         return _check_items(c, column, kind, path)
     if isinstance(c, Record):
@@ -387,6 +457,11 @@ def check(c: Constraint, column: Column, kind: T.DataType, path: Column) -> Foun
     raise TypeError(f"no constraint: {c!r}")
 
 
+def _branches(c: OneOf) -> tuple[list[Constraint], str | None]:
+    """The branches that may fit, and what is said if none does."""
+    return [b for b in c.branches if not isinstance(b, Fail)], next((b.message for b in c.branches if isinstance(b, Fail)), None)
+
+
 def branch_of(c: OneOf, column: Column, kind: T.DataType) -> Column:
     """The number of the first branch that fits, null if none does."""
     return F.coalesce(*(F.when(~check(b, column, kind, F.lit("")).any(), F.lit(i)) for i, b in enumerate(c.branches)))
@@ -417,7 +492,7 @@ def _check_items(c: Items, column: Column, kind: T.DataType, path: Column) -> Fo
 
 def _field(f: Field, column: Column, kind: T.DataType, path: Column, concrete: bool) -> Found:
     out = Found()
-    if concrete and not f.optional:
+    if concrete and not f.optional and not isinstance(f.constraint, OrNull):
         out.add(column.isNull(), path, "missing", "incomplete")
     return out.extend(check(f.constraint, column, kind, path), column.isNotNull())
 
@@ -445,8 +520,11 @@ def _fields(c: Record, columns: dict[str, tuple[Column, T.DataType]], at: Callab
         fits = [p for pattern, p in c.patterns if _occurs(pattern, name)]
         for p in fits:
             out.extend(check(p, column, kind, at(name)), column.isNotNull())
-        if c.closed and name not in known and not fits:
-            out.add(column.isNotNull(), at(name), "field is not allowed")
+        if name not in known and not fits:
+            if c.closed:
+                out.add(column.isNotNull(), at(name), "field is not allowed")
+            else:
+                out.extend(check(c.rest, column, kind, at(name)), column.isNotNull())
     return _count(c, reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x, _ in columns.values()], F.lit(0)), path, out)
 
 
@@ -458,8 +536,11 @@ def _check_map(c: Record, column: Column, kind: T.MapType, path: Column) -> Foun
     entries = F.map_entries(column)
     of = lambda pattern, p: lambda e: F.when(e["key"].rlike(compiled(pattern)), _field(Field(p), e["value"], kind.valueType, at(e["key"]), True).violations()).otherwise(_none())
     out.arrays += [F.flatten(F.transform(entries, of(pattern, p))) for pattern, p in c.patterns]
+    fits = lambda k: reduce(lambda a, b: a | b, [k.rlike(compiled(p)) for p, _ in c.patterns], k.isin([*known]) if known else F.lit(False))
+    if not c.closed and not isinstance(c.rest, Anything):
+        others = lambda e: F.when(fits(e["key"]), _none()).otherwise(_field(Field(c.rest), e["value"], kind.valueType, at(e["key"]), True).violations())
+        out.arrays.append(F.flatten(F.transform(entries, others)))
     if c.closed:
-        fits = lambda k: reduce(lambda a, b: a | b, [k.rlike(compiled(p)) for p, _ in c.patterns], k.isin([*known]) if known else F.lit(False))
         bad = F.filter(F.map_keys(column), lambda k: ~fits(k))
         out.arrays.append(F.transform(bad, lambda k: F.struct(at(k).alias("path"), F.lit("eval").alias("code"), F.lit("field is not allowed").alias("message"))).cast(VIOLATION))
     return _count(c, F.size(column), path, out)
@@ -469,18 +550,49 @@ def validate(df: DataFrame, schema: Constraint, concrete: bool = True, violation
     """df with an array of what each row violates; empty for a valid row. With concrete, missing fields that are not optional count too.
 
     Works on batches and streams alike, without a shuffle. schema is a record, or a union of records (the row must fit a branch)."""
+    return df.withColumn(violations, _found(df, schema, concrete).violations())
+
+
+def counted(df: DataFrame, schema: Constraint, concrete: bool = True) -> DataFrame:
+    """path, code, message and n: how often rows of df violate what, without an array for each row. What does not occur is left out."""
+    return _found(df, schema, concrete).counts(df)
+
+
+def _found(df: DataFrame, schema: Constraint, concrete: bool) -> Found:
     columns = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
     of = lambda s: _fields(s, columns, F.lit, F.lit(""), concrete)
     if isinstance(schema, Nothing):
-        found = Found().add(F.lit(True), F.lit(""), schema.message)
-    elif isinstance(schema, OneOf):
-        bad = reduce(lambda a, b: a & b, [of(b).any() for b in schema.branches])
-        found = Found().add(bad, F.lit(""), f"fits none of {len(schema.branches)} branches")
-    elif isinstance(schema, Record):
-        found = of(schema)
-    else:
-        raise TypeError("a row is a record")
-    return df.withColumn(violations, found.violations())
+        return Found().add(F.lit(True), F.lit(""), schema.message)
+    if isinstance(schema, OneOf):
+        live, said = _branches(schema)
+        bad = reduce(lambda a, b: a & b, [of(b).any() for b in live])
+        return Found().add(bad, F.lit(""), said or f"fits none of {len(live)} branches")
+    if isinstance(schema, Record):
+        return of(schema)
+    raise TypeError("a row is a record")
+
+
+def valid_json(text: Column, schema: Constraint, kind: T.DataType) -> Column:
+    """Whether a text is JSON of that type that fits the schema; null for null. Numbers for texts, say, are no such JSON; members that
+    the type lacks are seen at the top level only, where a closed schema refuses them."""
+    if isinstance(kind, T.StructType):
+        kind = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
+    value = F.from_json(text, kind, {"columnNameOfCorruptRecord": "_corrupt"})
+    own = T.StructType([f for f in kind.fields if f.name != "_corrupt"]) if isinstance(kind, T.StructType) else kind
+    bad = check(schema, value, own, F.lit("")).any()
+    good = F.try_parse_json(text).isNotNull() & value.isNotNull() & ~bad
+    if isinstance(kind, T.StructType):
+        good = good & value["_corrupt"].isNull()
+        if isinstance(schema, Record) and schema.closed:
+            names = F.filter(F.json_object_keys(text), lambda k: reduce(lambda a, b: a | b, [k.rlike(compiled(p)) for p, _ in schema.patterns], k.isin([n for n, _ in schema.fields])))
+            good = good & (F.size(names) == F.size(F.json_object_keys(text)))
+    return F.when(text.isNotNull(), F.coalesce(good, F.lit(False)))
+
+
+def valid_yaml(text: Column, schema: Constraint, kind: T.DataType) -> Column:
+    """As valid_json(), of YAML; text that is none is not valid."""
+    told = F.to_json(yaml_unmarshal(text))
+    return F.when(text.isNotNull(), F.coalesce(valid_json(told, schema, kind), F.lit(False)))
 
 
 def opened(schema: Record) -> Record:
@@ -497,6 +609,8 @@ def default_of(c: Constraint) -> Any:
         return default_of(c.branches[c.default]) if c.default is not None else None
     if isinstance(c, All):
         return next((v for p in c.parts if (v := default_of(p)) is not None), None)
+    if isinstance(c, OrNull):
+        return default_of(c.inner)
     return c.value if isinstance(c, Value) else None
 
 

@@ -143,6 +143,9 @@ add(
     value_add=(lambda: values.add(F.lit(2**63 - 20), c("p_size").cast("long")), "TRY(9223372036854775788 + p_size::BIGINT)"),
     value_subtract=(lambda: values.subtract(F.lit(-(2**63) + 20), c("p_size").cast("long")), "TRY(-9223372036854775788 - p_size::BIGINT)"),
     value_multiply=(lambda: values.multiply(F.lit(2**62), c("p_size").cast("long")), "TRY(4611686018427387904 * p_size::BIGINT)"),
+    value_negative=(lambda: values.negative(F.when(c("p_size") > 9, c("p_size").cast("long")).otherwise(F.lit(-(2**63))), T.LongType()), "CASE WHEN p_size > 9 THEN -p_size::BIGINT END"),
+    value_positive=(lambda: values.positive(c("p_size"), T.IntegerType()), "p_size"),
+    value_inverse=(lambda: values.inverse(c("p_size") > 9, T.BooleanType()), "p_size <= 9"),
     value_equal=(
         lambda: values.equal(F.struct(c("p_size").cast("long").alias("a"), c("p_name").alias("b")), F.struct(F.lit("red widget").alias("b"), F.lit(9).cast("long").alias("a")), T.StructType.fromDDL("a long, b string"), T.StructType.fromDDL("b string, a long")),
         "p_size = 9 AND p_name = 'red widget'",
@@ -160,6 +163,29 @@ def _uuid() -> Column:
 
 add("documents", strings_trim_space=(lambda: strings.trim_space(F.concat(F.lit(" \t\n"), c("text"), F.lit(" \n"))), "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"), strings_rune_count=(lambda: strings.rune_count(c("text")), "length(text)::INT"))
 
+BITS = "rpad(b, (ceil(length(b) / 5.0) * 5)::INT, '0')"
+
+
+def base32_sql(alphabet: str) -> str:
+    """Bits of the bytes, five at a time, by the alphabet; filled up with = to a multiple of eight."""
+    bits = "array_to_string(list_transform(regexp_extract_all(hex(encode(c_name)), '..'), lambda h: lpad(bin(('0x' || h)::INT), 8, '0')), '')"
+    digits = f"array_to_string(list_transform(regexp_extract_all({BITS.replace('b', '(' + bits + ')', 1).replace('length(b)', 'length(' + bits + ')')}, '.....'), lambda q: '{alphabet}'[list_sum(list_transform(range(1, 6), lambda i: q[i]::INT << (5 - i)::INT))::INT + 1]), '')"
+    return f"rpad({digits}, (ceil(length({digits}) / 8.0) * 8)::INT, '=')"
+
+
+def hmac_sql(name: str, key: bytes = b"key") -> str | None:
+    """RFC 2104 by the engine's own digests, where it has them: digest(outer pad || digest(inner pad || message))."""
+    if name not in ("md5", "sha1", "sha256"):
+        return None
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"{name}(unhex('{outer}') || unhex({name}(unhex('{inner}') || encode(c_name))))"
+
+
+def erf_sql(x: str) -> str:
+    """The power series, which has all its digits for such small arguments."""
+    return f"(2 / sqrt(pi()) * list_sum(list_transform(range(0, 12), lambda n: pow(-1, n) * pow({x}, 2 * n + 1) / (factorial(n::INT)::DOUBLE * (2 * n + 1)))))"
+
+
 X = "(l_extendedprice - 30000) / 1000"
 SMALL = "l_discount * 2 - 0.1"
 
@@ -194,7 +220,9 @@ LINE = {
     "euclid_mod": (lambda: maths.euclid_mod(c("l_orderkey") - 5000, F.lit(-7)), "((l_orderkey - 5000) % 7 + 7) % 7"), "euclid_div": (lambda: maths.euclid_div(c("l_orderkey") - 5000, F.lit(-7)), "((l_orderkey - 5000 - ((l_orderkey - 5000) % 7 + 7) % 7) // -7)::BIGINT"),
     "gamma": (lambda: r(maths.gamma(c("l_linenumber") / 2.0), 4), rs("gamma(l_linenumber / 2.0)", 4)), "log_gamma": (lambda: r(maths.log_gamma(c("l_quantity")), 6), rs("lgamma(l_quantity)", 6)), "nextafter": (lambda: maths.nextafter(c("l_quantity"), F.lit(1e9)), "nextafter(l_quantity, 1e9)"),
     "fma": (lambda: r(maths.fma(c("l_quantity"), x(), F.lit(1.0)), 7), rs(f"l_quantity * ({X}) + 1", 7)), "frexp": (lambda: maths.frexp(c("l_quantity"))["mantissa"], "l_quantity / pow(2.0::DOUBLE, floor(log2(l_quantity)) + 1)"),
-    "erf": (lambda: maths.erf(near()), None), "erfc": (lambda: maths.erfc(near()), None),
+    "erf": (lambda: r(maths.erf(near()), 9), rs(erf_sql(SMALL), 9)), "erfc": (lambda: r(maths.erfc(near()), 9), rs(f"1 - {erf_sql(SMALL)}", 9)),
+    "finite": (lambda: maths.finite(c("l_quantity") / F.when(c("l_linenumber") > 1, c("l_linenumber").cast("double")).otherwise(F.lit(1e-320)) * 1e10), "CASE WHEN l_linenumber > 1 THEN l_quantity / l_linenumber::DOUBLE * 1e10 END"),
+    "multiple_of_part": (lambda: maths.multiple_of(c("l_discount"), 0.02), "abs(l_discount / 0.02::DOUBLE - round(l_discount / 0.02::DOUBLE)) < 1e-9"),
 }
 for f in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "atanh", "exp", "cbrt"):
     LINE[f] = (lambda f=f: r(getattr(F, f)(near())), rs(f"{f}({SMALL})"))
@@ -232,6 +260,9 @@ add(
     json_compact=(lambda: encodings.json_compact(c("props")), "replace(props, ' ', '')"),
     json_indent=(lambda: encodings.json_indent(c("props")), "'{' || chr(10) || '  ' || props[2:-2] || chr(10) || '}'"),
     net_ipv4=(lambda: nets.is_ipv4(_ip()), "user_id < 256"),
+    net_ipv4_whole=(lambda: nets.is_ipv4(F.concat(_ip(), F.when(c("event_id") % 2 == 0, "\n").otherwise(""))), "user_id < 256 AND event_id % 2 <> 0"),
+    regexp_match_end=(lambda: regexps.match(F.concat(c("event_type"), F.when(c("event_id") % 2 == 0, "\n").otherwise("")), "^[a-z]+$"), "event_id % 2 <> 0"),
+    time_is_duration_whole=(lambda: times.is_duration(F.concat(c("user_id"), F.when(c("event_id") % 2 == 0, "h\n").otherwise("h"))), "event_id % 2 <> 0"),
     net_ip=(lambda: nets.is_ip(_ip()), "user_id < 256"),
     net_ipv6=(lambda: nets.is_ipv6(F.concat(F.lit("2001:db8::"), F.hex("user_id"))), "true"),
     net_parse_ip=(lambda: nets.parse_ip(F.concat(F.lit("2001:0DB8:0::"), F.hex("user_id"))), "CASE WHEN user_id = 0 THEN '2001:db8::' ELSE '2001:db8::' || lower(to_hex(user_id)) END"),
@@ -277,7 +308,7 @@ add(
     regexp_replace_all=(lambda: regexps.replace_all(url(), "([a-z])/", "$1|"), "regexp_replace(url, '([a-z])/', '\\1|', 'g')"),
     regexp_quote_meta=(lambda: regexps.quote_meta(url()), "regexp_replace(url, '([\\\\.+*?()|\\[\\]{}^$#&~-])', '\\\\\\1', 'g')"),
     regexp_find_submatch=(lambda: regexps.find_submatch(url(), "([a-z]+)://([^/]*)"), "CASE WHEN regexp_matches(url, '([a-z]+)://([^/]*)') THEN [regexp_extract(url, '([a-z]+)://([^/]*)'), regexp_extract(url, '([a-z]+)://([^/]*)', 1), regexp_extract(url, '([a-z]+)://([^/]*)', 2)] ELSE [] END"),
-    html_escape=(lambda: encodings.html_escape(F.substring("html", 1, 400)), "replace(replace(replace(replace(replace(html[1:400], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"),
+    html_escape=(lambda: encodings.html_escape(c("html")), "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"),
     html_unescape=(lambda: encodings.html_unescape(encodings.html_escape(c("html"))), "html"),
 )
 add(
@@ -287,7 +318,7 @@ add(
     md5_sum=(lambda: digests.md5(c("c_name")), "md5(c_name)"),
     sha1_sum=(lambda: digests.sha1(c("c_name")), "sha1(c_name)"),
     sha512_sum=(lambda: digests.sha512(c("c_name")), None),
-    **{f"hmac_{n.lower()}": (lambda n=n: digests.sign(n, F.lit("key"), c("c_name")), None) for n in digests.HASHES},
+    **{f"hmac_{n.lower()}": (lambda n=n: digests.sign(n, F.lit("key"), c("c_name")), hmac_sql(n.lower())) for n in digests.HASHES},
     base64_encode=(lambda: encodings.base64_encode(c("c_name")), "to_base64(encode(c_name))"),
     base64_decode=(lambda: encodings.base64_decode(encodings.base64_encode(c("c_name"))), "c_name"),
     base64_url_encode=(lambda: encodings.base64_url_encode(F.concat(c("c_name"), F.lit("?>"))), "translate(to_base64(encode(c_name || '?>')), '+/', '-_')"),
@@ -295,9 +326,9 @@ add(
     base64_url_decode=(lambda: encodings.base64_url_decode(encodings.base64_url_encode(c("c_name"))), "c_name"),
     base64_raw_url_decode=(lambda: encodings.base64_raw_url_decode(encodings.base64_raw_url_encode(c("c_name"))), "c_name"),
     base32_round=(lambda: encodings.base32_decode(encodings.base32_encode(c("c_name"))), "c_name"),
-    base32_encode=(lambda: encodings.base32_encode(c("c_name")), None),
+    base32_encode=(lambda: encodings.base32_encode(c("c_name")), base32_sql("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")),
     base32_hex_round=(lambda: encodings.base32_hex_decode(encodings.base32_hex_encode(c("c_name"))), "c_name"),
-    base32_hex_encode=(lambda: encodings.base32_hex_encode(c("c_name")), None),
+    base32_hex_encode=(lambda: encodings.base32_hex_encode(c("c_name")), base32_sql("0123456789ABCDEFGHIJKLMNOPQRSTUV")),
     hex_encode=(lambda: encodings.hex_encode(c("c_name")), "lower(hex(c_name))"),
     hex_decode=(lambda: encodings.hex_decode(encodings.hex_encode(c("c_name"))).cast("string"), "c_name"),
     hex_dump=(lambda: encodings.hex_dump(c("c_name")), "array_to_string(regexp_extract_all(lower(hex(c_name)), '..'), ' ')"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,12 @@ from ..operators import comprehensions as C
 from ..operators import tables as L
 from ..operators import unification as U
 from ..sources.json_schema import constraint, definitions
-from .constraints import Bound, Items, Kind, OneOf, Pattern, Record, Passes, Value, between, branch_of, enum, meet, record, validate, with_schema_defaults
+from ..functions import templates
+from ..sources import documents
+from ..sources.scratch import shared_folder
+from .constraints import (
+    Bound, Items, Kind, MatchIf, MatchN, OneOf, Pattern, Record, Passes, Value, between, branch_of, counted, enum, error, every, meet, record, valid_json, valid_yaml, validate, with_schema_defaults,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,10 +102,9 @@ def comp_lookup(s, d):
     return C.lookup(table(s, d, "supplier"), table(s, d, "nation").where("n_nationkey < 20"), "s_nationkey", "n_nationkey", "n_name", "n_name").select("s_suppkey", "n_name", "n_name_missing")
 
 
-@query("SELECT vec_id, (i - 1)::INT AS i, round(embedding[i], 5) AS x FROM embeddings, unnest(range(1, 5)) t(i)")
+@query("SELECT vec_id, (i - 1)::INT AS i, round(embedding[i], 5) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i)")
 def comp_elements(s, d):
-    rows = table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("e"))
-    return C.elements(rows, "e", "x", "i").select("vec_id", "i", F.round("x", 5).alias("x"))
+    return C.elements(table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", "x", "i").select("vec_id", "i", F.round("x", 5).alias("x"))
 
 
 @query("SELECT n_nationkey, 'n_nationkey' AS k, n_nationkey AS v FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', n_regionkey FROM nation")
@@ -266,9 +271,9 @@ def list_table_is_sorted_true(s, d):
     return L.is_sorted(table(s, d, "orders"), [c("o_totalprice")], "o_totalprice", run=100)
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, lang, quality, CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL AND a.n <> b.n THEN NULL ELSE coalesce(a.n, b.n) END AS n, CASE WHEN a.n <> b.n THEN ['n'] ELSE [] END AS conflicts FROM (SELECT doc_id, lang, doc_id % 7 AS n FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, quality, doc_id % 5 AS n FROM labels) b ON a.doc_id = b.doc_id")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, lang, quality, CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL AND a.n <> b.n THEN NULL ELSE coalesce(a.n, b.n) END AS n, CASE WHEN a.n <> b.n THEN ['n'] ELSE [] END AS conflicts FROM (SELECT doc_id, lang, doc_id % 7 AS n FROM documents) a FULL JOIN (SELECT doc_id, quality, doc_id % 5 AS n FROM labels) b ON a.doc_id = b.doc_id")
 def unify_tables(s, d):
-    a = table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", "lang", (c("doc_id") % 7).alias("n"))
+    a = table(s, d, "documents").select("doc_id", "lang", (c("doc_id") % 7).alias("n"))
     b = table(s, d, "labels").select("doc_id", "quality", (c("doc_id") % 5).alias("n"))
     return U.unified(a, b, "doc_id")
 
@@ -285,11 +290,6 @@ def defaults_of_schema(s, d):
     return with_schema_defaults(rows, record({"doc_id": Kind("int"), "quality": enum(0, 1, default=1), "toxic": enum(0, 1, default=0)}))
 
 
-def codes(df: DataFrame) -> DataFrame:
-    """Violations by path and message."""
-    return df.select(F.explode("violations").alias("v")).groupBy("v.path", "v.code", "v.message").agg(F.count("*").alias("n"))
-
-
 LINE = record({"l_orderkey": Kind("int"), "l_partkey": Kind("uint16"), "l_quantity": meet(Kind("number"), between(5, 40)), "l_discount": meet(Kind("float"), Bound("<=", 0.08)), "l_returnflag": enum("A", "R"), "l_shipdate": Kind("time")}, closed=False)
 
 
@@ -299,7 +299,7 @@ LINE = record({"l_orderkey": Kind("int"), "l_partkey": Kind("uint16"), "l_quanti
   SELECT 'l_discount', 'eval', 'not <= 0.08', count(*) FILTER (WHERE l_discount > 0.08) FROM lineitem UNION ALL
   SELECT 'l_returnflag', 'eval', 'not one of [''A'', ''R'']', count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'R')) FROM lineitem) WHERE n > 0""")
 def validate_types_bounds(s, d):
-    return codes(validate(table(s, d, "lineitem"), LINE))
+    return counted(table(s, d, "lineitem"), LINE)
 
 
 @query("SELECT c_custkey, NOT regexp_matches(c_name, '^Customer#0*[1-9][0-9]*[02468]$') AS bad FROM customer")
@@ -397,3 +397,130 @@ def export_json(s, d):
     from ..sources.documents import json_lines
 
     return json_lines(table(s, d, "nation"))
+
+
+@query("SELECT doc_id, CASE WHEN quality > 0 THEN ['quality'] ELSE [] END AS paths FROM documents LEFT JOIN labels USING (doc_id)")
+def validate_nullable(s, d):
+    """A required field that may be null."""
+    rows = table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    schema = {"type": "object", "required": ["quality"], "properties": {"quality": {"type": ["integer", "null"], "maximum": 0}}}
+    return validate(rows, constraint(schema)).select("doc_id", c("violations.path").alias("paths"))
+
+
+@query("SELECT n_nationkey, (CASE WHEN n_name > 'J' THEN ['n_name'] ELSE [] END) || (CASE WHEN n_nationkey > 9 THEN ['n_nationkey'] ELSE [] END) || (CASE WHEN n_regionkey > 9 THEN ['n_regionkey'] ELSE [] END) AS paths FROM nation")
+def validate_additional(s, d):
+    """A schema for all fields that properties do not name."""
+    schema = {"type": "object", "properties": {"n_name": {"type": "string", "pattern": "^[A-I]"}}, "additionalProperties": {"type": "integer", "maximum": 9}}
+    return validate(table(s, d, "nation"), constraint(schema)).select("n_nationkey", F.sort_array("violations.path").alias("paths"))
+
+
+@query("SELECT event_id, CASE WHEN NOT (event_type = 'purchase' AND value > 10 OR event_type = 'view') THEN ['not of interest'] ELSE [] END AS messages FROM events")
+def validate_error_message(s, d):
+    """The author's message where no branch fits."""
+    schema = record({"event_type": Value("purchase"), "value": Bound(">", 10.0)}, closed=False) | record({"event_type": Value("view")}, closed=False) | error("not of interest")
+    return validate(table(s, d, "events"), schema).select("event_id", c("violations.message").alias("messages"))
+
+
+@query("SELECT p_partkey, ((p_size < 30)::INT + (p_size > 10)::INT + (p_size = 20)::INT) <> 2 AS bad FROM part")
+def validate_match_n(s, d):
+    """Two of three constraints hold."""
+    schema = record({"p_size": MatchN(Value(2), (Bound("<", 30), Bound(">", 10), Value(20)))}, closed=False)
+    return validate(table(s, d, "part"), schema).select("p_partkey", (F.size("violations") > 0).alias("bad"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 20 THEN p_size % 2 <> 0 ELSE p_size < 5 END AS bad FROM part")
+def validate_match_if(s, d):
+    even = Passes("even", lambda x: x % 2 == 0)
+    schema = record({"p_size": MatchIf(Bound(">", 20), even, Bound(">=", 5))}, closed=False)
+    return validate(table(s, d, "part"), schema).select("p_partkey", (F.size("violations") > 0).alias("bad"))
+
+
+@query("SELECT p_partkey, NOT (p_size >= 5 AND p_size < 30 AND p_size <> 7) AS bad FROM part")
+def validate_every(s, d):
+    schema = record({"p_size": every(Kind("int"), Bound(">=", 5), Bound("<", 30), Bound("!=", 7))}, closed=False)
+    return validate(table(s, d, "part"), schema).select("p_partkey", (F.size("violations") > 0).alias("bad"))
+
+
+PROPS = record({"k": meet(Kind("int"), Bound("<", 50))})
+
+
+@query("SELECT event_id, (props->>'$.k')::INT < 50 AND user_id % 5 <> 0 AND user_id % 7 <> 0 AS valid FROM events")
+def validate_json_text(s, d):
+    """Text against a schema; some texts have a member too many, some a text for a number."""
+    rows = table(s, d, "events")
+    odd = F.when(c("user_id") % 7 == 0, F.lit('{"k": "x"}')).when(c("user_id") % 5 == 0, F.replace("props", F.lit("}"), F.lit(', "z": 1}'))).otherwise(c("props"))
+    return rows.select("event_id", valid_json(odd, PROPS, rows.selectExpr("named_struct('k', cast(1 as bigint)) as t").schema["t"].dataType).alias("valid"))
+
+
+@query("SELECT event_id, (props->>'$.k')::INT < 50 AS valid FROM events")
+def validate_yaml_text(s, d):
+    rows = table(s, d, "events")
+    return rows.select("event_id", valid_yaml(c("props"), PROPS, rows.selectExpr("named_struct('k', cast(1 as bigint)) as t").schema["t"].dataType).alias("valid"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def function_template(s, d):
+    """A function that is defined by name and called on columns."""
+    templates.define(s, "net_price", {"price": "double", "discount": "double"}, "double", "price * (1 - discount)")
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.call_function("net_price", "l_extendedprice", "l_discount").alias("net"))
+
+
+@query("SELECT n_nationkey, x FROM nation, unnest(range(n_regionkey)) t(x)")
+def function_table(s, d):
+    templates.define_table(s, "numbers_below", {"n": "int"}, {"x": "bigint"}, "SELECT e AS x FROM (SELECT explode(sequence(0L, cast(n AS BIGINT))) AS e) WHERE e < n")
+    return s.sql("SELECT n_nationkey, x FROM {nation}, LATERAL numbers_below(n_regionkey)", nation=table(s, d, "nation"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_totalprice > 200000 OR o_orderstatus = 'F') AND NOT o_orderpriority = '1-URGENT'")
+def comp_guard_logic(s, d):
+    return C.guard(table(s, d, "orders"), ((c("o_totalprice") > 200000) | (c("o_orderstatus") == "F")) & ~(c("o_orderpriority") == "1-URGENT"))[0].select("o_orderkey")
+
+
+def _path(s: SparkSession) -> str:
+    return f"{shared_folder(s)}/lattica/{s.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT n_nationkey, n_name, NULL::VARCHAR AS _corrupt FROM nation")
+def source_json(s, d):
+    """Written as lines of JSON and read again by a schema."""
+    path = _path(s)
+    documents.write_json(table(s, d, "nation").select("n_nationkey", "n_name"), path)
+    return documents.read_json(s, path, "n_nationkey int, n_name string")
+
+
+@query("SELECT n_nationkey, n_name || ', \"' || n_name || '\"' AS label FROM nation")
+def source_csv(s, d):
+    path = _path(s)
+    documents.write_csv(table(s, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "'), "n_name", F.lit('"')).alias("label")), path)
+    return documents.read_csv(s, path, "n_nationkey int, label string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def source_variant(s, d):
+    """Read as variants, without a schema."""
+    path = _path(s)
+    documents.write_json(table(s, d, "nation"), path)
+    value = documents.read_json_variant(s, path)
+    return value.select(F.try_variant_get("value", "$.n_nationkey", "int").alias("n_nationkey"), F.try_variant_get("value", "$.n_name", "string").alias("n_name"))
+
+
+@query("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def source_exported(s, d):
+    """Rows without a required field are not exported."""
+    rows = table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return documents.exported(rows, ["quality"])[0]
+
+
+@query("SELECT n_nationkey, true AS own FROM nation")
+def source_origin(s, d):
+    """Each row with the folder that it comes from."""
+    rows = documents.with_origin(s.read.parquet(f"{d}/nation.parquet"))
+    return rows.select("n_nationkey", F.endswith("origin", F.lit("/" + d.rstrip("/").rsplit("/", 1)[-1])).alias("own"))
+
+
+@query("SELECT approx AS user_ids_are_near FROM (SELECT true AS approx)")
+def agg_approximate(s, d):
+    """Distinct users and the median value, each within a few per cent of the exact ones."""
+    rows = table(s, d, "events")
+    told = rows.agg(L.distinct_about(c("user_id")).alias("n"), L.quantile_about(c("value"), 0.5).alias("m"), F.count_distinct("user_id").alias("exact"), F.percentile("value", F.lit(0.5)).alias("median"))
+    return told.select(((F.abs(c("n") - c("exact")) <= 0.1 * c("exact")) & (F.abs(c("m") - c("median")) <= 0.05 * F.greatest(F.abs("median"), F.lit(1.0)))).alias("user_ids_are_near"))

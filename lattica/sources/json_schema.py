@@ -5,13 +5,18 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from ..plans.constraints import Anything, Bound, Constraint, Field, Items, Kind, Nothing, OneOf, Pattern, Record, Passes, Value, meet
+from ..functions.maths import multiple_of
+from ..plans.constraints import Anything, Bound, Constraint, Field, Items, Kind, Nothing, OneOf, OrNull, Pattern, Record, Passes, Value, meet
 
 KINDS = {"string": "string", "integer": "int", "number": "number", "boolean": "bool"}
 #: Levels of a recursive schema that are followed; a value below them is refused. Schemas without recursion are followed to their end.
 DEPTH = 16
 
 
+#: What only null fits.
+ONLY_NULL = OrNull(Nothing("only null is allowed"))
+
+
 def _length(name: str, n: int) -> Passes:
     from pyspark.sql import functions as F
 
@@ -25,7 +30,7 @@ def _deeper() -> Passes:
 
 
 def _multiple(n: float) -> Passes:
-    return Passes(f"multipleOf {n}", lambda c: c % n == 0)
+    return Passes(f"multipleOf {n}", lambda c: multiple_of(c, n))
 
 
 def constraint(schema: Any, root: Any = None, depth: int = 0, within: tuple[str, ...] = ()) -> Constraint:
@@ -43,21 +48,20 @@ def constraint(schema: Any, root: Any = None, depth: int = 0, within: tuple[str,
             return _deeper()
         parts.append(constraint(reduce(lambda d, k: d[k], names, root), root, depth + 1, (*within, schema["$ref"])))
     if "const" in schema:
-        parts.append(Value(schema["const"]))
+        parts.append(_any_of([ONLY_NULL if schema["const"] is None else Value(schema["const"])]))
     if "enum" in schema:
         values = [v for v in schema["enum"] if v is not None]
         default = values.index(schema["default"]) if schema.get("default") in values else None
-        parts.append(OneOf(tuple(map(Value, values)), default) if len(values) > 1 else Value(values[0]))
+        parts.append(_any_of([*map(Value, values), *([ONLY_NULL] if None in schema["enum"] else [])], default))
     for word in ("anyOf", "oneOf"):
         if word in schema:
-            branches = tuple(constraint(s, root, depth + 1, within) for s in schema[word])
-            parts.append(branches[0] if len(branches) == 1 else OneOf(branches))
+            parts.append(_any_of([constraint(s, root, depth + 1, within) for s in schema[word]]))
     parts += [constraint(s, root, depth + 1, within) for s in schema.get("allOf", [])]
     names = schema.get("type")
-    names = [n for n in (names if isinstance(names, list) else [names]) if n not in (None, "null")]
-    kinds = [k for n in names if (k := _typed(schema, n, root, depth, within)) is not None]
+    names = [n for n in (names if isinstance(names, list) else [names]) if n is not None]
+    kinds = [k for n in names if (k := ONLY_NULL if n == "null" else _typed(schema, n, root, depth, within)) is not None]
     if kinds:
-        parts.append(kinds[0] if len(kinds) == 1 else OneOf(tuple(kinds)))
+        parts.append(_any_of(kinds))
     elif "properties" in schema or "additionalProperties" in schema or "patternProperties" in schema:
         parts.append(_record(schema, root, depth, within))
     for word, operator in (("minimum", ">="), ("maximum", "<="), ("exclusiveMinimum", ">"), ("exclusiveMaximum", "<")):
@@ -68,9 +72,22 @@ def constraint(schema: Any, root: Any = None, depth: int = 0, within: tuple[str,
     if "pattern" in schema:
         parts.append(Pattern(schema["pattern"]))
     parts += [_length(w, schema[w]) for w in ("minLength", "maxLength") if w in schema]
+    if parts and all(isinstance(p, OrNull) or not isinstance(p, Value | OneOf | Kind | Record | Items | Nothing) for p in parts):
+        # Bounds, patterns and lengths say nothing about null.
+        null = any(isinstance(p, OrNull) for p in parts)
+        both = reduce(meet, [p.inner if isinstance(p, OrNull) else p for p in parts], Anything())
+        return OrNull(both) if null else both
     return reduce(meet, parts, Anything())
 
 
+def _any_of(branches: list[Constraint], default: int | None = None) -> Constraint:
+    """One of the branches; null fits if it fits one of them. Nothing fits none at all."""
+    inner, null = [b.inner if isinstance(b, OrNull) else b for b in branches], any(isinstance(b, OrNull) for b in branches)
+    live = [b for b in inner if not isinstance(b, Nothing)]
+    out = Nothing("only null is allowed" if null else "no value is allowed") if not live else live[0] if len(live) == 1 else OneOf(tuple(live), default)
+    return OrNull(out) if null else out
+
+
 def _typed(schema: dict, name: str, root: Any, depth: int, within: tuple[str, ...]) -> Constraint | None:
     if name == "array":
         inner = schema.get("items", True)
@@ -88,9 +105,8 @@ def _record(schema: dict, root: Any, depth: int, within: tuple[str, ...]) -> Rec
     fields |= {n: Field(Anything()) for n in sorted(required - set(fields))}
     patterns = [(p, constraint(s, root, depth + 1, within)) for p, s in schema.get("patternProperties", {}).items()]
     more = schema.get("additionalProperties", True)
-    if isinstance(more, dict) and not patterns and not fields:
-        patterns.append(("", constraint(more, root, depth + 1, within)))
-    return Record(tuple(fields.items()), more is False, tuple(patterns), schema.get("minProperties", 0), schema.get("maxProperties"))
+    rest = constraint(more, root, depth + 1, within) if isinstance(more, dict) else Anything()
+    return Record(tuple(fields.items()), more is False, tuple(patterns), schema.get("minProperties", 0), schema.get("maxProperties"), rest)
 
 
 def definitions(document: dict) -> dict[str, Constraint]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import comprehensions, unification
-from lattica.plans.constraints import Anything, Bound, Field, Items, Kind, Nothing, OneOf, Pattern, Record, Passes, Value, between, enum, meet, opened, record, validate, with_schema_defaults
+from lattica.plans.constraints import Anything, Bound, Field, Items, Kind, Nothing, OneOf, Pattern, Record, Passes, Value, between, enum, meet, opened, record, counted, error, every, valid_json, validate, with_schema_defaults, MatchIf, MatchN, OrNull
 from lattica.sources.json_schema import constraint
 
 
@@ -99,3 +99,58 @@ def test_json_schema_deeper_than_sixteen_levels(spark):
         kind, value = f"struct<a: {kind}>", f"named_struct('a', {value})"
     rows = spark.range(1).selectExpr(f"cast({value} as {kind}) as v").select("v.*")
     assert validate(rows, constraint(tree)).first()["violations"]
+
+
+def test_json_schema_with_null(spark):
+    frame = spark.sql("SELECT * FROM VALUES (1, 'a', array('x', null)), (null, null, null) t(n, s, a)")
+    schema = {"type": "object", "required": ["n", "s", "a"], "properties": {"n": {"type": ["integer", "null"], "minimum": 2}, "s": {"enum": ["b", None]}, "a": {"anyOf": [{"type": "array", "items": {"type": ["string", "null"]}}, {"type": "null"}]}}}
+    assert paths(frame, constraint(schema)) == [[("n", "eval"), ("s", "eval")], []]
+    assert paths(frame.select("n"), constraint({"type": "object", "required": ["n"], "properties": {"n": {"enum": [None]}}})) == [[("n", "eval")], []]
+    assert paths(frame.select("n"), constraint({"type": "object", "properties": {"n": {"enum": []}}})) == [[("n", "eval")], []]
+    assert paths(frame.select("n"), constraint({"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}}})) == [[], [("n", "incomplete")]]
+    assert constraint({"type": "null"}) == OrNull(Nothing("only null is allowed")) and isinstance(constraint({"enum": []}), Nothing)
+    assert meet(OrNull(Kind("int")), OrNull(Bound(">", 1))) == OrNull(meet(Kind("int"), Bound(">", 1))) and meet(OrNull(Kind("int")), Value(3)) == Value(3)
+
+
+def test_json_schema_of_other_fields(spark):
+    frame = spark.sql("SELECT 1 AS a, 'x' AS b, 3 AS c, map('k', 1, 'z', 9) AS m")
+    schema = {"type": "object", "properties": {"a": {"type": "integer"}, "m": {"type": "object", "properties": {"k": {"type": "integer"}}, "additionalProperties": {"type": "integer", "maximum": 5}}}, "additionalProperties": {"type": "integer"}}
+    assert paths(frame, constraint(schema)) == [[("b", "eval"), ("m.z", "eval")]]
+    only = record({"a": Kind("int")}, closed=False)
+    assert paths(frame.select("a", "c"), meet(Record(rest=Bound(">", 5)), only)) == [[("a", "eval"), ("c", "eval")]]
+    for value, good in ((0.3, True), (0.35, False)):
+        assert (paths(spark.createDataFrame([(value,)], "x double"), constraint({"properties": {"x": {"multipleOf": 0.1}}})) == [[]]) == good
+
+
+def test_branches_that_say_what_is_wrong(spark):
+    frame = spark.sql("SELECT * FROM VALUES (1), (7) t(n)")
+    said = lambda c: [[v["message"] for v in r["violations"]] for r in validate(frame, record({"n": c})).collect()]
+    assert said(enum(7, 8) | error("seven or eight")) == [["seven or eight"], []]
+    assert said(meet(enum(7, 8) | error("seven or eight"), Bound("<", 8))) == [["seven or eight"], []]
+    assert meet(enum(7, 8) | error("no"), Bound("<", 2)) == error("no")
+    assert said(MatchN(Bound(">=", 2), (Bound(">", 0), Bound(">", 5)))) == [["not >= 2"], []] and said(MatchIf(Bound(">", 5), Value(8), Value(1))) == [[], ["not 8"]]
+    assert every(Kind("int"), Bound(">", 1), Bound("<", 3)) == meet(meet(Kind("int"), Bound(">", 1)), Bound("<", 3)) and every() == Anything()
+
+
+def test_counts_are_those_of_the_arrays(spark):
+    frame = spark.sql("SELECT * FROM VALUES (1, 'ab', array(1, 9)), (null, 'b', array(8, null)), (5, null, null) t(n, s, a)")
+    schema = record({"n": meet(Kind("int"), Bound(">", 3)), "s": Pattern("^a$"), "a?": Items(Bound("<", 5)), "z": Kind("int")})
+    each = validate(frame, schema).select(F.inline("violations")).groupBy("path", "code", "message").count()
+    assert sorted(map(tuple, counted(frame, schema).collect())) == sorted(map(tuple, each.collect())) != []
+    assert counted(frame.limit(0), schema).collect() == [] and counted(frame, record({}, closed=False)).collect() == []
+
+
+def test_text_against_a_schema(spark):
+    schema = record({"a": meet(Kind("int"), Bound("<", 5)), "b?": Pattern("^x")})
+    texts = ['{"a": 1}', '{"a": 9}', '{"a": "1"}', '{"a": 1, "b": "xy"}', '{"a": 1, "b": "y"}', '{"a": 1, "c": 2}', "{}", "[1]", "{", "", None]
+    kind = spark.sql("SELECT named_struct('a', 1L, 'b', '') t").schema["t"].dataType
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(valid_json(F.col("t"), schema, kind)).collect()]
+    assert got == [True, False, False, True, False, False, False, False, False, False, None]
+
+
+def test_ends_of_texts(spark):
+    frame = spark.sql("SELECT explode(array('abc', 'abc\\n', 'a$', 'a\\u0085c')) s")
+    hits = lambda p: [not x for x in paths(frame, record({"s": Pattern(p)}))]
+    assert hits("^[a-z]+$") == [True, False, False, False] and hits("^a[$]$") == hits("^a\\$$") == [False, False, True, False]
+    assert hits("^a.c$") == [True, False, False, True] and hits("(?m)c$") == [True, True, False, True]
+    assert isinstance(meet(Pattern("^[a-z]+$"), Value("abc\n")), Nothing)

@@ -338,7 +338,7 @@ def links_between(tokens: np.ndarray, cuts: np.ndarray, left: np.ndarray, right:
     """(a, b), places of links between left and right sets that join the components as far as pairs are similar.
 
     Set i is tokens[cuts[i] : cuts[i + 1]]. Overlaps of a tile of sets are a product of two matrices that tell which set has which token,
-    some columns at a time, so exact comparison of all pairs costs little memory and about a tenth of a microsecond a pair."""
+    some columns at a time, so exact comparison of all pairs costs little memory and some tenths of a microsecond a pair."""
     _, column = np.unique(tokens, return_inverse=True)
     _, label = np.unique(component, return_inverse=True)
     size, label = np.diff(cuts), label.copy()

@@ -57,7 +57,7 @@ def test_codes(spark):
     s = F.col("s")
     for name, function in digests.HASHES.items():
         assert one(spark, digests.sign(name, F.lit("k"), s), s="é") == [hmac.new(b"k", "é".encode(), function).hexdigest()]
-    assert one(spark, F.lower(F.hex(digests.sha224(s))), s="abc") == [hashlib.sha224(b"abc").hexdigest()]
+    assert one(spark, F.lower(F.hex(digests.sha224(s))), digests.sha512(s), s="abc") == [hashlib.sha224(b"abc").hexdigest(), hashlib.sha512(b"abc").hexdigest()]
     assert one(spark, encodings.base32_encode(s), encodings.base32_decode(encodings.base32_encode(s)), encodings.base32_decode(F.lit("1")), s="aé") == ["MHB2S===", "aé", None]
     assert one(spark, encodings.json_valid(s), encodings.yaml_valid(s), encodings.hex_decode(s), s='{"a":') == [False, False, None]
     assert one(spark, encodings.html_escape(s), encodings.html_unescape(F.lit("&amp;lt;")), s="<'&\">") == ["&lt;&#39;&amp;&quot;&gt;", "&lt;"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,13 +20,24 @@ def _timed(stream: DataFrame, time: str) -> DataFrame:
     return stream.withColumn(time, F.col(time).cast("timestamp")) if isinstance(stream.schema[time].dataType, T.TimestampNTZType) else stream
 
 
-def violation_counts(stream: DataFrame, schema: Constraint, time: str, window: str = "10 minutes", late: str | None = "30 minutes") -> DataFrame:
+def violation_counts(stream: DataFrame, schema: Constraint, time: str, window: str = "10 minutes", late: str | None = "30 minutes", slide: str | None = None) -> DataFrame:
     """Rows and invalid rows for each window of event time; rows later than `late` behind the newest are left out, so state is bounded.
 
-    late is None where the stream has a watermark already."""
+    late is None where the stream has a watermark already. With slide, windows begin that often and a row is in each that holds it."""
     checked = _timed(validate(stream, schema), time)
     checked = checked.withWatermark(time, late) if late else checked
-    return checked.groupBy(F.window(time, window)).agg(F.count("*").alias("n"), F.count_if(F.size("violations") > 0).alias("n_invalid"))
+    return checked.groupBy(F.window(time, window, slide)).agg(*_counts())
+
+
+def session_counts(stream: DataFrame, schema: Constraint, time: str, by: list[str], gap: str = "10 minutes", late: str | None = "30 minutes") -> DataFrame:
+    """The same counts for each key's sessions: runs of rows less than `gap` apart. A null key is a key; rows without a time are left out."""
+    checked = _timed(validate(stream, schema), time)
+    checked = checked.withWatermark(time, late) if late else checked
+    return checked.groupBy(*by, F.session_window(time, gap).alias("session")).agg(*_counts())
+
+
+def _counts() -> list[Column]:
+    return [F.count("*").alias("n"), F.count_if(F.size("violations") > 0).alias("n_invalid")]
 
 
 def split_to(stream: DataFrame, schema: Constraint, good: str, bad: str, checkpoint: str) -> StreamingQuery:

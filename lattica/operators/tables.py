@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import ranked
+from ..sources.scratch import ranked, save
+
+#: Rows of a group that one task takes in order; larger groups are cut into runs of that many.
+TOGETHER = 10_000_000
 
 
 def total(c: Column) -> Column:
@@ -115,14 +119,50 @@ def repeated(source: DataFrame, n: int) -> DataFrame:
     return source.withColumn("__n", F.explode(F.array_repeat(F.lit(0), n))).drop("__n")
 
 
-def ranks(source: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """The place from 1 in the order of the row's group."""
-    return source.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-
-
-def moving(source: DataFrame, by: list[str], order: list[Column], fold: Column, before: int, name: str) -> DataFrame:
-    """The fold over each row and the `before` rows ahead of it in its group."""
-    return source.withColumn(name, fold.over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-before, 0)))
+def _hot(rows: DataFrame, by: list[str], together: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of at most `together` rows, those of larger groups or None). Nulls are a group. Only keys are read for that, and
+    there are at most as many large groups as runs of `together` rows in the input, so their keys are broadcast."""
+    keys = [F.col(b).alias(f"__k{i}") for i, b in enumerate(by)]
+    large = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > together).drop("__n")
+    if not large.limit(1).count():
+        return rows, None
+    if not by:
+        return rows.limit(0), rows
+    large = F.broadcast(save(large, "large"))
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__k{i}")) for i, b in enumerate(by)])
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
+def ranks(source: DataFrame, by: list[str], order: list[Column], name: str = "rank", together: int = TOGETHER) -> DataFrame:
+    """The place from 1 in the order of the row's group; rows equal in the order get places next to each other, in any order.
+
+    Null keys are a group. A group of more than `together` rows is ranked by ranges of its order, in as many tasks as it needs."""
+    rows, large = _hot(source, by, together)
+    out = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    if large is None:
+        return out
+    placed = save(ranked(large, [*map(F.col, by), *order], "__i"), "ranked")
+    first = placed.groupBy(*(F.col(b).alias(f"__k{i}") for i, b in enumerate(by))).agg(F.min("__i").alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__k{i}")) for i, b in enumerate(by)], F.lit(True))
+    placed = placed.join(F.broadcast(first), same).withColumn(name, (F.col("__i") - F.col("__first") + 1).cast("int"))
+    return out.unionByName(placed.select(*out.columns))
+
+
+def moving(source: DataFrame, by: list[str], order: list[Column], fold: Column, before: int, name: str, together: int = TOGETHER) -> DataFrame:
+    """The fold over each row and the `before` rows ahead of it in its group. Null keys are a group.
+
+    A group of more than `together` rows is cut into runs of that many (or of `before`, if that is more), each with a copy of the last
+    `before` rows of the run ahead of it."""
+    rows, large = _hot(source, by, together)
+    over = lambda *keys: Window.partitionBy(*keys, *by).rowsBetween(-before, 0)
+    out = rows.withColumn(name, fold.over(over().orderBy(*order)))
+    if large is None:
+        return out
+    run = max(together, before, 1)
+    placed = ranked(large, [*map(F.col, by), *order], "__i").withColumn("__own", F.floor(F.col("__i") / run))
+    ahead = F.when(F.col("__i") % run >= run - before, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))
+    placed = placed.withColumn("__run", F.explode(ahead)).withColumn(name, fold.over(over("__run").orderBy("__i")))
+    return out.unionByName(placed.where("__run = __own").select(*out.columns))
 
 
 def rolled_up(source: DataFrame, by: list[str], folds: Mapping[str, Column]) -> DataFrame:
@@ -130,14 +170,29 @@ def rolled_up(source: DataFrame, by: list[str], folds: Mapping[str, Column]) ->
     return source.rollup(*by).agg(*(f.alias(n) for n, f in folds.items()), F.grouping_id().alias("level"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
-    """left with the values of right's last row, in its group, that is not later. One shuffle by group and a window; no pairs."""
+def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], together: int = TOGETHER) -> DataFrame:
+    """left with the values of right's last row, in its group, that is not later; of rows at one time any. Null keys are a group, and null
+    times the earliest. One shuffle by group and a window; no pairs.
+
+    A group of more than `together` rows is cut into runs of that many, and what the runs ahead have seen last is handed on to each."""
     a = left.select(*left.columns, *(F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values), F.lit(1).alias("__side"))
     b = right.select(*by, time, *(F.col(v).alias(f"__{v}") for v in values), F.lit(0).alias("__side"))
-    rows = b.unionByName(a, allowMissingColumns=True)
-    upto = Window.partitionBy(*by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("__side") == 0, F.struct(*(F.col(f"__{v}").alias(v) for v in values))), ignorenulls=True).over(upto)
-    return rows.withColumn("__seen", seen).where("__side = 1").select(*left.columns, *(F.col(f"__seen.{v}").alias(v) for v in values))
+    rows, large = _hot(b.unionByName(a, allowMissingColumns=True), by, together)
+    told = F.when(F.col("__side") == 0, F.struct(*(F.col(f"__{v}").alias(v) for v in values)))
+    seen = lambda *keys: F.last(told, ignorenulls=True).over(Window.partitionBy(*keys, *by).orderBy(*(["__i"] if keys else [time, "__side"])).rowsBetween(Window.unboundedPreceding, 0))
+    answer = lambda rows: rows.where("__side = 1").select(*left.columns, *(F.col(f"__seen.{v}").alias(v) for v in values))
+    out = answer(rows.withColumn("__seen", seen()))
+    if large is None:
+        return out
+    placed = save(ranked(large, [*map(F.col, by), F.col(time), F.col("__side")], "__i").withColumn("__run", F.floor(F.col("__i") / together)), "runs")
+    # One row for each run of each large group: about twice as many as there are runs at most.
+    keys = [F.col(x).alias(f"__k{i}") for i, x in enumerate(["__run", *by])]
+    ends = placed.groupBy(*keys).agg(F.max_by(told, F.when(F.col("__side") == 0, F.col("__i"))).alias("__end"))
+    ahead = Window.partitionBy(*(f"__k{i + 1}" for i in range(len(by)))).orderBy("__k0").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__ahead", F.last("__end", ignorenulls=True).over(ahead)).drop("__end")
+    same = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__k{i}")) for i, x in enumerate(["__run", *by])])
+    placed = placed.withColumn("__seen", seen("__run")).join(F.broadcast(ends), same)
+    return out.unionByName(answer(placed.withColumn("__seen", F.coalesce("__seen", "__ahead"))))
 
 
 def in_range(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:

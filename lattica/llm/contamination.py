@@ -6,6 +6,7 @@ import pickle
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -318,8 +319,9 @@ def _joined(both: DataFrame) -> DataFrame:
 
 
 def contaminated(max_share: float = 0.05) -> Column:
-    """The rule on find()'s columns: some word is hit, and the hit words are at least max_share of all."""
-    return (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(max_share) * F.col("n_words"))
+    """The rule on find()'s columns: some word is hit, and the hit words are at least max_share of all, in whole numbers: 0.05 is 1/20."""
+    share = Fraction(str(max_share))
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * share.denominator >= F.col("n_words") * share.numerator)
 
 
 #: What stands for a removed span: a word of its own, so that the words around it don't become neighbours.

@@ -199,6 +199,12 @@ def test_removing(spark, docs):
     assert cut[2] == f"{clean}  \u2026 " and cut[5] == f"É {clean}:  \u2026 ! {clean}" and cut[3] == clean and cut[4] is None
 
 
+@pytest.mark.parametrize("n_words, n_hit", [(140, 7), (280, 14), (300, 15), (20, 1), (281, 14), (100, 4), (0, 0)])
+def test_a_twentieth_is_exact(spark, n_words, n_hit):
+    row = spark.createDataFrame([(n_words, n_hit)], "n_words long, n_hit long")
+    assert row.select(contamination.contaminated()).first()[0] == (n_hit > 0 and 20 * n_hit >= n_words)
+
+
 def test_digest_of_no_items(spark, data):
     rows = contamination.op6_suffix_automaton(spark, data).where(F.col("n_items") == 0).collect()
     assert rows and all(r["items_sha256"] == hashlib.sha256(b"").hexdigest() and not r["contaminated"] for r in rows)

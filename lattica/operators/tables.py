@@ -122,6 +122,8 @@ def repeated(source: DataFrame, n: int) -> DataFrame:
 def _hot(rows: DataFrame, by: list[str], together: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows of groups of at most `together` rows, those of larger groups or None). Nulls are a group. Only keys are read for that, and
     there are at most as many large groups as runs of `together` rows in the input, so their keys are broadcast."""
+    if rows.count() <= together:  # no group can have more; of files this reads counts only
+        return rows, None
     keys = [F.col(b).alias(f"__k{i}") for i, b in enumerate(by)]
     large = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > together).drop("__n")
     if not large.limit(1).count():

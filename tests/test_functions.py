@@ -83,3 +83,12 @@ def test_equality(spark):
     got = [r[0] for r in frame.select(values.equal(F.col("p"), F.col("q"), *kinds)).collect()]
     assert got == [True, False]
     assert one(spark, values.equal(F.lit(1), F.lit("1"), T.IntegerType(), T.StringType()), values.is_null_value(F.parse_json(F.lit("null")))) == [False, True]
+
+
+def test_address_of_user_ids_beyond_sixteen_bits(spark, tmp_path):
+    from lattica.plans import function_queries
+
+    ids = [0, 65535, 65536, 89999, 2**40, 2**63 - 1]
+    spark.createDataFrame(list(enumerate(ids)), "event_id long, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["value"] for r in function_queries.queries()["fn_net_ipv6"](spark, str(tmp_path)).collect()] == [True] * len(ids)
+    assert one(spark, nets.is_ipv6(F.lit("2001:db8::10000")), nets.parse_ip(F.lit("2001:0DB8:0::10000"))) == [False, None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -13,6 +14,12 @@ from ..sources.scratch import ranked, save
 #: Rows of a group that one task takes in order; larger groups are cut into runs of that many.
 TOGETHER = 10_000_000
 
+#: Pairs of points and ranges in a cell that one task compares; more are cut into blocks of about that many.
+PAIRS = 10_000_000
+#: Tasks of a range join at most; beyond that each compares more pairs.
+MOST_TASKS = 20_000
+BLOCK = ["__cell", "__block_p", "__block_r"]
+
 
 def total(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
@@ -197,9 +204,33 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, values: l
     return out.unionByName(answer(placed.withColumn("__seen", F.coalesce("__seen", "__ahead"))))
 
 
-def in_range(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= at < high: an equality join on cells of `width`, of which each range covers some. Pick a width near the usual range's."""
-    cell = F.floor(F.col(at) / width)
+def in_range(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, pairs: int = PAIRS) -> DataFrame:
+    """Pairs with low <= at < high: an equality join on cells of `width`, of which each range covers some. Pick a width near the usual range's.
+
+    Cells are counted first. Where they hold more than `pairs` pairs in all, the points and the ranges of a cell are dealt into blocks whose
+    sides are the square root of that, and each two blocks that meet are a key of the join: there are about as many tasks as `pairs` go into
+    all pairs, whatever few cells these are in."""
+    celled = lambda points: points.withColumn("__cell", F.floor(F.col(at) / width))
     cells = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    spread = ranges.where(F.col(low) < F.col(high)).withColumn("__cell", F.explode(cells))
-    return points.withColumn("__cell", cell).join(spread, "__cell").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__cell")
+    spread = lambda ranges: ranges.where(F.col(low) < F.col(high)).withColumn("__cell", F.explode(cells))
+    within = (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
+    counts = lambda rows, name: rows.groupBy("__cell").agg(F.count("*").alias(name))
+    sizes = counts(celled(points), "__p").join(counts(spread(ranges), "__r"), "__cell")
+    every = sizes.agg(F.sum(F.col("__p").cast("double") * F.col("__r"))).first()[0] or 0
+    if every <= pairs:
+        return celled(points).join(spread(ranges), "__cell").where(within).drop("__cell")
+    side, tasks = math.isqrt(pairs), min(math.ceil(every / pairs), MOST_TASKS)
+    # Numbers that deal the rows must stay when a task is run again, so they are saved with them.
+    points, ranges = (save(x.withColumn("__deal", F.xxhash64(F.monotonically_increasing_id())), "dealt") for x in (points, ranges))
+    blocks = lambda n: F.ceil(F.col(n) / side)
+    # A cell that is cut has more rows than a side, so there are fewer of these than rows by that factor.
+    cut = sizes.select("__cell", blocks("__p").alias("__np"), blocks("__r").alias("__nr")).where("__np > 1 OR __nr > 1")
+    cut = F.broadcast(save(cut, "cells"))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        n = lambda side: F.coalesce(F.col(f"__n{side}"), F.lit(1))
+        rows = rows.join(cut, "__cell", "left").withColumn(f"__block_{own}", F.pmod("__deal", n(own)))
+        rows = rows.withColumn(f"__block_{other}", F.explode(F.sequence(F.lit(0).cast("long"), n(other) - 1)))
+        return rows.drop("__np", "__nr", "__deal").repartition(tasks, *BLOCK)
+
+    return dealt(celled(points), "p", "r").join(dealt(spread(ranges), "r", "p"), BLOCK).where(within).drop(*BLOCK)

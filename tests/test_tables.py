@@ -41,3 +41,18 @@ def test_equal_rows_and_empty_tables(spark):
     none = same.limit(0)
     assert L.ranks(none, ["k"], [c("t")]).count() == L.moving(none, ["k"], [c("t")], F.count("*"), 3, "m").count() == 0
     assert L.as_of(none, same.select("k", "t", c("v").alias("w")), ["k"], "t", ["w"]).count() == 0
+
+
+@pytest.mark.parametrize("pairs", [1, 90, 2_000])
+def test_range_join_of_few_cells(spark, pairs):
+    points = spark.sql("SELECT id p, CASE WHEN id % 50 <> 0 THEN (id % 37) / 4D - 3 END x FROM range(300) UNION ALL SELECT -1, 1D UNION ALL SELECT -1, 1D")
+    ranges = spark.sql("SELECT id r, (id % 11) / 2D - 2 lo, (id % 11) / 2D + id % 4 - 2 hi FROM range(60) UNION ALL SELECT 99, cast(null as double), 1D")
+    want = rows_of(points.join(ranges, (c("x") >= c("lo")) & (c("x") < c("hi"))).select("p", "r"))
+    got = L.in_range(points, ranges, "x", "lo", "hi", 5.0, pairs)
+    assert got.columns == ["p", "x", "r", "lo", "hi"] and rows_of(got.select("p", "r")) == want != []
+
+
+def test_one_full_cell_is_spread_over_tasks(spark):
+    points, ranges = spark.range(1_000).select("id", F.lit(1.0).alias("x")), spark.range(1_000).select(c("id").alias("r"), F.lit(0.5).alias("lo"), F.lit(1.5).alias("hi"))
+    per_task = L.in_range(points, ranges, "x", "lo", "hi", 5.0, 10_000).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 1_000_000 and max(r["count"] for r in per_task) < 100_000

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,44 @@ def test_address_of_user_ids_beyond_sixteen_bits(spark, tmp_path):
     spark.createDataFrame(list(enumerate(ids)), "event_id long, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert [r["value"] for r in function_queries.queries()["fn_net_ipv6"](spark, str(tmp_path)).collect()] == [True] * len(ids)
     assert one(spark, nets.is_ipv6(F.lit("2001:db8::10000")), nets.parse_ip(F.lit("2001:0DB8:0::10000"))) == [False, None]
+
+
+def test_yaml_that_is_json_is_read_without_the_library(spark):
+    import random
+
+    yaml = pytest.importorskip("yaml")
+    odd = [
+        '{"a": 1, "a": 2}', '{"a": 1} {"b": 2}', "{}]", "{}}", "1 2", "[1 2]", "[1,]", '{"a" 1}', '{"a": 007}', '{"a": 1_0}', '{"a": -0}', '{"a": 1e5}', '{"a": 1.50}', "{a: 1}", '{"a": yes}', '{"a":\t1}', '{"<<": 1, "=": 2}',
+        '{"a": "x # y: [z], {w}"}', '["---", "%", "!!int 3", "*x", "yes", "null", "1e5", "2020-01-01", ""]', '{"a": "\\n"}', '{"a": 123456789012345678}', '{"a": -1234567890123456789}', '{"a": 1}\n', "{", "", " ", "a: [1, 2]", '{"": 0}', '{"%s": 1}' % ("k" * 1100),
+        '{"a"%s: 1}' % (" " * 1100), '{"a": [[1]]}', '{"a": {"b": 1}}', "null", "[[[1]]]", "[%s]" % ", ".join(["1"] * 600), '{"a": 1 # c\n}',
+    ]
+    draw = random.Random(7)
+    parts = ["{", "}", "[", "]", ",", ":", " ", '"', '"a"', '"b"', '"b": ', "1", "-", "0", "true", "null", ".", "\\", "#", "\t", "\n"]
+    made = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 6))) for _ in range(1500)]
+    flat = ["{" + draw.choice(["", " "]) + draw.choice([",", ", ", " , "]).join(f'"{draw.choice("abcdef")}"{draw.choice([":", ": ", " : "])}{draw.choice(["1", "-70", "[]", "[1,2]", "null", chr(34) * 2])}' for _ in range(draw.randint(0, 3))) + "}" for _ in range(500)]
+    texts = [*odd, *made, *flat]
+
+    def want(t):
+        try:
+            return json.dumps(yaml.safe_load(t), ensure_ascii=False, default=str)
+        except Exception:
+            return None
+
+    rows = spark.createDataFrame([(t, want(t)) for t in texts], "t string, want string").select("t", F.to_json(encodings.yaml_unmarshal(F.col("t"))).alias("got"), F.to_json(F.try_parse_json("want")).alias("want"), F.col("t").rlike(encodings.ALIKE).alias("alike"))
+    got = rows.collect()
+    assert [r for r in got if r["got"] != r["want"]] == [] and sum(r["alike"] for r in got) > 500
+
+
+def test_equal_yaml_texts_are_parsed_once(spark, monkeypatch, tmp_path):
+    log = f"{tmp_path}/calls"
+
+    def load(v):
+        with open(log, "a") as f:
+            f.write(f"{v}\n")
+        return {"a": 1}
+
+    monkeypatch.setattr(encodings, "_load", load)
+    rows = spark.range(0, 500, 1, 1).select(F.when(F.col("id") % 2 == 0, "a: 1").otherwise('{"a": 1}').alias("t"))
+    assert {r[0] for r in rows.select(F.to_json(encodings.yaml_unmarshal(F.col("t")))).collect()} == {'{"a":1}'}
+    with open(log) as f:
+        assert f.read() == "a: 1\n"

@@ -591,8 +591,8 @@ def valid_json(text: Column, schema: Constraint, kind: T.DataType) -> Column:
 
 def valid_yaml(text: Column, schema: Constraint, kind: T.DataType) -> Column:
     """As valid_json(), of YAML; text that is none is not valid."""
-    told = F.to_json(yaml_unmarshal(text))
-    return F.when(text.isNotNull(), F.coalesce(valid_json(told, schema, kind), F.lit(False)))
+    told = F.array(F.to_json(yaml_unmarshal(text)))  # an element of an array, so that it is made once and not at each place that reads it
+    return F.when(text.isNotNull(), F.coalesce(F.get(F.transform(told, lambda t: valid_json(t, schema, kind)), F.lit(0)), F.lit(False)))
 
 
 def opened(schema: Record) -> Record:
